@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollweave.llm import common, decontam, exact_dedup, packing, simhash
+from rollweave.llm import common, decontam, exact_dedup, packing, simhash, toxicity
 from rollweave.llm.queries import END_ID, table, tokenizer_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject."""
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts."""
     return exact_dedup.deduplicate(docs)
@@ -32,6 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact),
     ("near dedup", drop_near),
     ("decontamination", drop_benchmark),

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import find_package
+
 #: A side of a join is broadcast only when a count shows that it has no more rows than this.
 BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch: texts may be long, so batches are kept short.
@@ -59,7 +61,8 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds at a time."""
+    """Bound what one Python worker holds at a time, and let it find this package."""
+    find_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

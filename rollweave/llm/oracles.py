@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import HINT, KNOWN, SPELLINGS
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP5 = rf"""
@@ -38,4 +40,52 @@ k AS (
 SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM k
 """
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5, "op10_exact_dedup": OP10}
+OP2 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e AS (
+  SELECT *, 23 + length(role) + length(text) + len(regexp_extract_all(role, '[<\[]\\*(?:\||/?s>|/?INST\]|</?SYS>)'))
+    + len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|/?INST\]|</?SYS>)')) AS size
+  FROM c
+),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt, sum(size) AS size
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
+  CAST(size AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
+def _canonical(text: str) -> str:
+    """SQL of the licences' canonical form, '' where there are no words."""
+    out = rf"' ' || trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t\x0b\x0c\r]*(?:copyright\b|\(c\)|©)[^\n]*$', ' ', 'g'), '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', ' ', 'g')) || ' '"
+    for found, by in SPELLINGS:
+        out = f"replace({out}, ' {found} ', ' {by} ')"
+    return f"trim({out})"
+
+
+def _op8() -> str:
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    return f"""
+WITH known AS (
+  SELECT c, min(licence) AS licence FROM (SELECT licence, {_canonical("text")} AS c FROM (VALUES {known}) AS v(licence, text)) WHERE c <> '' GROUP BY c
+),
+d AS (SELECT doc_id, {_canonical("text")} AS c FROM documents),
+l AS (
+  SELECT doc_id, k.licence FROM (
+    SELECT doc_id, {_canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+    WHERE regexp_matches(lower(line), '{HINT}')
+  ) x JOIN known k ON x.c = k.c
+),
+n AS (SELECT doc_id, count(*) AS n_notices, string_agg(licence, ',' ORDER BY licence) AS notices FROM l GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.c <> '' THEN sha256(d.c) END AS text_sha256, k.licence, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN known k ON d.c = k.c LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op5_decontaminate": OP5, "op8_licences": _op8(), "op10_exact_dedup": OP10}

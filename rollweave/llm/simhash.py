@@ -160,6 +160,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataF
     """Links (a, b) between distinct fingerprints that connect whatever chains of links connect."""
     if distance > 5:
         raise ValueError("three segments with one deleted bit find distances up to 5")
+    short_batches(fps.sparkSession)
     rows = signatures(fps)
     hot = rows.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("slot", "sig")
     n_hot = (hot := store(hot, "hot-buckets")).count()
