@@ -7,8 +7,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def find_package(spark: SparkSession) -> None:
+def find_package(spark: SparkSession | None = None) -> None:
     """Let Python workers import this package from where the driver has it (on a cluster: ship it with ``--py-files``)."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]

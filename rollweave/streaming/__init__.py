@@ -1,0 +1,5 @@
+"""Streams.
+
+Scalar functions and field updates are stateless, so they apply to a streaming DataFrame as they are; an exact match joins a stream
+with a static register. Fuzzy matches, duplicates and remaining rows need all rows and are batch operators.
+"""
