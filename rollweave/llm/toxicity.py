@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ MAX_UNLABELLED = 8_000
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features besides whole words.
 PREFIXES = (4, 5, 6)
+_BUCKETS = 1 << 22
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -61,37 +63,42 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def telling_features(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> list[str]:
-    """Features that positives have far more often than the negatives, whose share follows from the prior."""
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p = Counter(f for x in positive for f in x)
-    in_p = {f: c for f, c in in_p.items() if c >= 3}
-    in_u = Counter(f for x in unlabelled for f in x if f in in_p)
-    out = []
-    for f, c in sorted(in_p.items()):
-        negative = max((in_u[f] / n_u - prior * c / n_p) / (1 - prior), 0) + 0.25 / n_u
-        expected = n_p * negative
-        if c >= 6 * expected and c > expected + 4 * expected**0.5 + 2:
-            out.append(f)
-    return out
+def _often(texts: list[str | None], least: int = 3) -> dict[str, int]:
+    """Features of at least ``least`` texts, numbered. Counts by hash come first, so that rare features are never held."""
+    rough = np.zeros(_BUCKETS, np.uint16)
+    for t in texts:
+        at = np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) for f in features(t)), np.int64) % _BUCKETS
+        np.add.at(rough, at, 1)
+    counts = Counter(f for t in texts for f in features(t) if rough[crc32(f.encode("utf-8", "surrogatepass")) % _BUCKETS] >= least)
+    return {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= least))}
 
 
-def _matrix(rows: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    at = [(i, index[f]) for i, x in enumerate(rows) for f in x if f in index]
-    pairs = np.array(at, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def _rows(texts: list[str | None], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of all indexed features of all texts."""
+    found = [np.fromiter((index[f] for f in features(t) if f in index), np.int32) for t in texts]
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int32), *found])
+
+
+def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float) -> np.ndarray:
+    """Which features positives have far more often than the negatives, whose share follows from the prior."""
+    negative = np.maximum((in_u / n_u - prior * in_p / n_p) / (1 - prior), 0) + 0.25 / n_u
+    expected = n_p * negative
+    return (in_p >= 6 * expected) & (in_p > expected + 4 * np.sqrt(expected) + 2)
 
 
 def fit(positive: Iterable[str | None], unlabelled: Iterable[str | None], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """nnPU with the sigmoid loss, full batches and Adam."""
-    pos, unl = [features(t) for t in dict.fromkeys(positive)], [features(t) for t in unlabelled]
+    pos, unl = list(dict.fromkeys(positive)), list(unlabelled)
     prior = float(np.clip(prior, 1e-3, 0.9))
     start = float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return Model(start)
-    names = telling_features(pos, unl, prior)
-    index = {f: i for i, f in enumerate(names)}
-    (pr, pc), (ur, uc) = _matrix(pos, index), _matrix(unl, index)
+    index = _often(pos)
+    (pr, pc), (ur, uc) = _rows(pos, index), _rows(unl, index)
+    chosen = telling(np.bincount(pc, minlength=len(index)), len(pos), np.bincount(uc, minlength=len(index)), len(unl), prior)
+    number = np.cumsum(chosen) - 1
+    names = [f for f, i in index.items() if chosen[i]]
+    pr, pc, ur, uc = pr[chosen[pc]], number[pc[chosen[pc]]], ur[chosen[uc]], number[uc[chosen[uc]]]
     w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
     w[-1] = start
     for step in range(1, steps + 1):
