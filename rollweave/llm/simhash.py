@@ -102,6 +102,11 @@ def finer(rows: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _differing(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits; bits of a signed number would be counted in its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Links of a spanning forest of distinct fingerprints at ``distance`` bits or fewer."""
     left, a, b = members, [], []
@@ -109,7 +114,7 @@ def _forest(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+            near = _differing(left, at) <= distance
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -129,7 +134,7 @@ def bucket_links(batches: Iterable[pa.RecordBatch], distance: int = DISTANCE) ->
         sizes = np.diff(np.r_[starts, len(rows)])
         fps = rows[:, 2]
         pairs = starts[sizes == 2]
-        near = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= distance]
+        near = pairs[_differing(fps[pairs], fps[pairs + 1]) <= distance]
         a, b = [fps[near]], [fps[near + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             x, y = _forest(np.unique(fps[s : s + n]), distance)
