@@ -115,12 +115,16 @@ def _present(schema: T.StructType, of, prefix: str = "") -> list[tuple[str, Colu
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             for path, _ in _present(kind.elementType, lambda n, c=c: c[n], f"{prefix}{f.name}[]."):
                 leaf = path.split("[].", 1)[1] if not prefix else path.removeprefix(f"{prefix}{f.name}[].")
-                out.append((path, F.exists(c, lambda e, leaf=leaf: _field(e, leaf).isNotNull())))
+                out.append((path, F.exists(c, _has(leaf))))
         else:
             out.append((prefix + f.name, c.isNotNull()))
     return out
 
 
+def _has(path: str):
+    return lambda e: _field(e, path).isNotNull()
+
+
 def _field(c: Column, path: str) -> Column:
     for step in path.split("."):
         c = c[step]
@@ -183,7 +187,7 @@ def canonical(df: DataFrame, columns: list[str] | None = None, json: str | None
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for layout in layouts:
         if (made := _mapped(layout, schema, of)) is not None:
-            here = F.col(mark).isin(*layout.fingerprints())
+            here = F.col(mark).isin(*(f for f in layout.fingerprints() if json is None or f != fingerprint([])))
             name, turns = F.when(here, F.lit(layout.name)).otherwise(name), F.when(here, made.cast(_TURNS)).otherwise(turns)
     out = df.withColumns({"layout": name, "turns": turns}).withColumnRenamed(mark, "fingerprint")
     return out.drop(record) if record else out
