@@ -109,11 +109,11 @@ def candidates_by_document(docs: DataFrame, benchmark: DataFrame, window: int =
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, str, str]:
     """``docs`` with the words of each text and its verified hits; and the names of the two columns."""
-    found = candidates_by_document(docs, benchmark, window).withColumnsRenamed({"doc_id": "_c_doc", "text_hash": "_c_hash", "candidates": "_c_all"})
-    words, hits = fresh("_words", docs.columns), fresh("_hits", docs.columns)
+    words, hits, doc, text_hash, told = (fresh(n, docs.columns) for n in ("_words", "_hits", "_doc", "_text_hash", "_candidates"))
+    found = candidates_by_document(docs, benchmark, window).withColumnsRenamed({"doc_id": doc, "text_hash": text_hash, "candidates": told})
     base = docs.withColumn(words, words_of(F.col("text")))
-    joined = base.join(small(found), F.col("doc_id").eqNullSafe(F.col("_c_doc")) & (F.xxhash64("text") == F.col("_c_hash")), "left")
-    verified = F.when(F.col("_c_all").isNotNull(), exact_hits(F.col(words), F.col("_c_all"), window))
+    joined = base.join(small(found), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    verified = F.when(F.col(told).isNotNull(), exact_hits(F.col(words), F.col(told), window))
     return joined.withColumn(hits, verified).select(*docs.columns, words, hits), words, hits
 
 
