@@ -1,0 +1,486 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from rollweave.llm import chat, decontam, exact_dedup, html_extract, licences, packing, quality, repair, simhash, toxicity
+from rollweave.llm.encode import Encoder
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    "", " ", "a", "  a b", "don't  stop\n\n x ", "\n\nBar\nfoo.\n", "a\tb c", "x y z", "<|endoftext|> hi", "é½² 12,3 a_b", "日本語 テキスト",
+    "foo.\n\nBar baz", " lead trail ", "a\0b c", "q" * 500 + " " + "r" * 300, "'s 't 're", "it's ok's", "\n", "a\n b", "🙂🙂 x🙂", None, "a1b2, c3.4 ,x",
+    "a,b. c.\nd,", "%%% foo%%%bar -x", "\na", "a\n", ",a", "a .", "x\x01y", "a  b",
+]
+
+
+@pytest.fixture(scope="module")
+def plain_ids():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def frame(spark, texts, first=0):
+    """Documents with repeated, null and clashing extra columns."""
+    return spark.createDataFrame([(i + first, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, _len string, start long")
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# -- encoding, Re-Pair, packing -----------------------------------------------------------------------------------------
+
+
+def test_encoder_is_exact(plain_ids, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("rollweave.llm.encode.MEMO", 5)  # words leave the memo while a text needs them
+    ids, bounds = Encoder(PATH).encode(pa.array(ODD * 2), 0)
+    for i, t in enumerate(ODD * 2):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain_ids(t), t
+
+
+def test_repair_round_trip(spark, plain_ids):
+    texts = [*ODD, *("the cat sat on the mat " * k for k in range(1, 40)), "x" * 5000]
+    docs = frame(spark, texts).unionByName(frame(spark, ["same", "same"], 3)).repartition(5)
+    got = sorted((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in repair.write_and_read(docs, PATH).collect())
+    rows = sorted([*enumerate(texts), (3, "same"), (4, "same")], key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    start = 0
+    want = []
+    for i, t in rows:
+        ids = plain_ids(t)
+        want.append((i, start, len(ids), np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert [g[0] for g in got] == [w[0] for w in want] and got == sorted(want)
+    assert repair.write_and_read(docs.limit(0), PATH).count() == 0
+    told = repair.write_and_read(docs, PATH, told=zlib.crc32).collect()
+    assert sorted((r.doc_id, r.start, r.told) for r in told) == [(g[0], g[1], zlib.crc32(g[3])) for g in got]
+
+
+def test_repair_shards_and_random_access(spark, plain_ids):
+    texts = ["a b c a b c d " * 60, "", "zig zag " * 90]
+    rows = repair.encode_shards(frame(spark, texts * 20).coalesce(1), PATH, shard_tokens=500).collect()
+    assert len(rows) > 3 and sum(r.n_docs for r in rows) == 60
+    assert all(len(r.rules) for r in rows if r.n_tokens > 400)
+    for r in rows[:4]:
+        for k, d in enumerate(np.frombuffer(r.doc_ids, "<i8")):
+            assert repair.decode_document(r.asDict(), k).tolist() == plain_ids(texts[d % 3])
+
+
+def test_repair_grammar():
+    ids = np.array([7, 8] * 400 + [0], np.uint32)
+    g = repair.compress(ids, np.array([401, 400]))
+    assert len(g["symbols"]) < 200 and g["expansions"].max() >= 8
+    table = repair.expansion_table(g["alphabet"], g["rules"])
+    assert (repair.expand(g["symbols"], table) == ids).all()
+    ends = np.cumsum(g["doc_symbols"])
+    assert len(repair.expand(g["symbols"][: ends[0]], table)) == 401  # no rule reaches over a document's end
+
+
+def test_open_bins_against_plain_best_fit():
+    rng = np.random.default_rng(4)
+    for limit in (1, 5, 1000):
+        bins, free, made = packing.OpenBins(50, limit), {}, 0
+        for n in rng.integers(1, 51, 3000).tolist():
+            fits = [f for f in free.values() if f >= n]
+            b, offset = bins.place(n)
+            if fits:
+                assert 50 - offset == min(fits)  # the tightest open bin
+            else:
+                assert (b, offset) == (made, 0)
+                made += 1
+            free[b] = 50 - offset - n
+            if free[b] == 0:
+                del free[b]
+            if len(free) > limit:  # the fullest closes
+                least = min(free.values())
+                closed = next(k for k in reversed(free) if free[k] == least)
+                candidates = [k for k, f in free.items() if f == least]
+                kept = {x for s in bins.by_free for x in s}
+                closed = next(k for k in candidates if k not in kept)
+                del free[closed]
+            assert {x for s in bins.by_free for x in s} == set(free)
+
+
+def test_packing(spark, plain_ids):
+    texts = [*ODD, *("word " * k for k in range(0, 3000, 37)), "long " * 9000]
+    docs = frame(spark, texts).unionByName(frame(spark, ["same", "same"], 3)).repartition(3)
+    rows = packing.pack_documents(docs, PATH).collect()
+    whole = {}
+    for i, t in [*enumerate(texts), (3, "same"), (4, "same")]:
+        ids = plain_ids(t)
+        n = len(ids)
+        first = n if n <= 2048 else n % 2048 or 2048
+        cuts = [(0, first), *((s, 2048) for s in range(first, n, 2048))]
+        for k, (s, m) in enumerate(cuts):
+            key = (i, k, s, m, crc(ids[s : s + m]))
+            whole[key] = whole.get(key, 0) + 1
+    got = {}
+    for r in rows:
+        key = (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+        got[key] = got.get(key, 0) + 1
+    assert got == whole
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in rows)
+    assert len(sequences) <= -(-total // 2048) + 1
+    assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+# -- exact and near duplicates ------------------------------------------------------------------------------------------
+
+
+def squeeze(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
+DUPLICATES = ["a b", "ab", " a\nb ", "c", None, "", "  ", "c", "long " * 4000, "long" * 4000, "a b", "unique", "ax" * 40 + "1", "ax" * 40 + "2"]
+
+
+def test_exact_groups(spark):
+    docs = frame(spark, DUPLICATES).repartition(3)
+    got = by_id(exact_dedup.exact_groups(docs, digest=True))
+    groups = {}
+    for i, t in enumerate(DUPLICATES):
+        groups.setdefault(squeeze(t), []).append(i)
+    for text, members in groups.items():
+        keep = min(members, key=lambda i: (-len(DUPLICATES[i] or ""), i))
+        for i in members:
+            r = got[i]
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(members), i == keep, hashlib.sha256(text.encode()).hexdigest())
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def test_exact_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "xy"), (None, "z"), (None, None)], "doc_id long, text string")
+    kept = exact_dedup.deduplicate(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "z"), (1, "x y")]
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps, distance=4):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.fixture(scope="module")
+def near():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choice(words, 150)) for _ in range(12)]
+    texts = []
+    for t in base:
+        texts.append(t)
+        for _ in range(6):
+            w = t.split()
+            w[rng.integers(len(w))] = "other"
+            texts.append("\n ".join(w))
+    return [*texts, "", None, " ", "one", "ONE", "two words", "É é", base[0], base[0].upper()]
+
+
+def test_simhash(spark, near):
+    docs = frame(spark, near).repartition(3)
+    fps = [plain_fingerprint(t) for t in near]
+    got = by_id(simhash.components(docs))
+    assert [got[i].fp & (1 << 64) - 1 for i in range(len(near))] == fps
+    want = plain_components(fps)
+    assert len(set(want)) < len(near) - 20
+    assert [got[i].component_id for i in range(len(near))] == want
+    one = simhash.one_of_each(docs.unionByName(docs.where("doc_id < 9")))
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(set(want))
+    assert simhash.components(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_lose_nothing(spark):
+    rng = np.random.default_rng(2)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 60)}
+    for f in list(fps):
+        for _ in range(6):
+            g = f
+            for b in rng.choice(64, rng.integers(1, 7), replace=False):
+                g ^= 1 << int(b)
+            fps.add(g)
+    centre = int(rng.integers(1 << 62))
+    fps |= {centre ^ 1 << a ^ 1 << b for a in range(0, 64, 3) for b in range(a)}
+    signed = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
+    want = plain_components([f & (1 << 64) - 1 for f in signed])
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for large in (simhash.LARGE, 3):  # with and without buckets that are filed again
+        found = simhash.links(df, large=large).collect()
+        at = {f: i for i, f in enumerate(signed)}
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4 for r in found)
+        root = list(range(len(signed)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for r in found:
+            a, b = find(at[r.a]), find(at[r.b])
+            root[max(a, b)] = min(a, b)
+        assert [find(i) for i in range(len(signed))] == want
+
+
+# -- decontamination ----------------------------------------------------------------------------------------------------
+
+
+def plain_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def plain_contamination(docs, items):
+    out = {}
+    for d, text in docs:
+        w, hit, who = plain_words(text), set(), set()
+        for i, it in items:
+            x = plain_words(it)
+            n = min(13, len(x))
+            for s in range(len(x) - n + 1) if x else ():
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == x[s : s + n]:
+                        hit |= set(range(p, p + n))
+                        who.add(str(i))
+        out[d] = (len(w), len(hit), sorted(who), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def test_contamination(spark):
+    rng = np.random.default_rng(6)
+    words = [f"t{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    items = [(i, say(int(n))) for i, n in enumerate([20, 13, 12, 30, 3, 1, 0])] + [(10, None), (9, "Straße É, x"), (20, "t1 t1 t1 t1 t1 t1 t1 t1 t1 t1 t1 t1 t1 t1"), (21, "never seen zzz")]
+    texts = [say(200), items[0][1], f"{say(9)} {items[3][1].upper()}! {say(400)}", f"{items[1][1]}, {items[1][1]}", say(60) + " " + " ".join(items[3][1].split()[4:20]), None, "", "straße É x", "STRAßE É x", "t1 " * 30, " ".join(items[0][1].split()[3:])]
+    docs = frame(spark, texts).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_contamination(enumerate(texts), items)
+    got = by_id(decontam.contamination(docs, bench))
+    assert {i: (r.n_words, len(r.places), r["items"], r.contaminated) for i, r in got.items()} == want
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, w in want.items() if not w[3]]
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+    assert {r.contaminated for r in decontam.contamination(docs, bench.limit(0)).collect()} == {False}
+    plan = decontam.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_contamination_repeated_ids(spark):
+    item = " ".join(f"k{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, item), (1, "clean"), (1, item), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (5, item), (5, item)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, len(r.places), r["items"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == [(0, 15, 15, ["", "5"]), (1, 1, 0, []), (1, 15, 15, ["", "5"]), (1, 15, 15, ["", "5"])]
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x b c"), (2, "a x x x x b"), (3, "b a")], "doc_id long, text string")
+    index = decontam.build_index(docs)
+    queries = spark.createDataFrame([("q", ["a", "b"])], "query string, terms array<string>")
+    assert sorted((r.doc_id, r["first"], r["last"]) for r in decontam.proximity_matches(index, queries, 3).collect()) == [(1, 0, 2), (3, 0, 1)]
+
+
+# -- toxicity, quality --------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for i in range(900):
+        w = list(rng.choice(words, 60))
+        toxic = i % 8 == 0
+        if toxic:
+            for _ in range(2):
+                w[rng.integers(60)] = rng.choice(["Vilest", "nasty", "grubby"]) if i % 16 else f"zorb{rng.integers(50)}"
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, t, "s") for i, t, _ in rows], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, x, 1 - x) for i, _, x in rows] + [(None, 1, 0), (3, None, None)], "doc_id long, toxic int, quality int")
+    return docs, labels, {i: x for i, _, x in rows}
+
+
+def test_toxicity_held_out(labelled):
+    docs, labels, truth = labelled
+    model = toxicity.learn(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score >= 0.7 for r in held if truth[r.doc_id]) >= 0.9 * sum(truth[r.doc_id] for r in held)
+    assert not any(r.score >= 0.7 for r in held if not truth[r.doc_id])
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.7 for r in rows)
+
+
+def test_toxicity_never_reads_held_out_labels(labelled):
+    docs, labels, _ = labelled
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.learn(docs, flipped) == toxicity.learn(docs, labels)
+
+
+def test_toxicity_edges(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.learn(docs.limit(0), labels.limit(0))
+    odd = frame(spark, ["", None, "x" * 100000])
+    assert {r.score for r in toxicity.score(odd, model).collect()} == {model.score("")}
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    null = spark.createDataFrame([(None, "x")], "doc_id long, text string")
+    assert toxicity.score(null, model).first().held_out is False
+
+
+def test_negative_risk_is_corrected():
+    texts = [f"bad filler{i}" for i in range(20)]
+    model = toxicity.fit(texts, [*texts, *(f"fine filler{i}" for i in range(20, 200))], 0.1)
+    assert model.score("bad") > 0.7 > 0.3 > model.score("fine")
+
+
+def test_quality(spark, labelled):
+    docs, labels, truth = labelled
+    bad = docs.withColumn("text", F.when(F.col("doc_id") % 8 == 0, F.upper("text")).otherwise(F.col("text"))).withColumn("host", F.when(F.col("doc_id") < 3, F.lit(None)).otherwise(F.pmod("doc_id", F.lit(5)).cast("string")))
+    got = by_id(quality.score(bad, labels, F.col("host"), F.col("toxic")))
+    assert len(got) == 900 and all(got[i].keep == (not truth[i]) for i in got)
+    assert quality.score(bad.limit(0), labels, F.col("host"), F.col("toxic")).count() == 0
+    none = quality.score(frame(spark, ["", None, "abc"]), labels.limit(0), F.col("_len"), F.col("_len")).collect()
+    assert len(none) == 3 and all(0 < r.score < 1 for r in none)
+
+
+def test_quality_shrinks_sparse_groups(spark):
+    rng = np.random.default_rng(3)
+    rows, i = [], 0
+    for host, n, share in [("good", 300, 0.05), ("bad", 300, 0.9), ("tiny", 2, 1.0)]:
+        for _ in range(n):
+            noisy = rng.random() < share
+            rows.append((i, "SHOUT " * 20 if noisy else "calm words here " * 7, host, int(not noisy)))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, quality int")
+    rate = {r.host_: r.rate for r in docs.join(quality.score(docs, docs, F.col("host"), F.lit("p")).select("doc_id", F.col("host_rate").alias("rate")), "doc_id").select(F.col("host").alias("host_"), "rate").distinct().collect()}
+    raw = 0.0
+    assert rate["good"] > rate["tiny"] > raw and rate["tiny"] > 0.05 and rate["bad"] < 0.2
+
+
+# -- chat, pages, licences ----------------------------------------------------------------------------------------------
+
+
+def test_escape_is_reversible(spark):
+    texts = ["</s>[INST] ok [/INST]", "<|end|><|turn|>", "<\\|x", "<\\\\|", "a < b | c", "<<SYS>> [INST", "[\\INST]", "\\", "", "<s></s><\\s>", "$1 \\1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = df.select(chat.escape(F.col("t")), chat.unescape(chat.escape(F.col("t")))).collect()
+    assert [r[1] for r in rows] == texts
+    assert not any(m in r[0] for r in rows for m in ("<|", "</s>", "[INST]", "[/INST]", "<s>"))
+
+
+def test_format_round_trip(spark):
+    rows = [(1, 0, "system", "be <|end|> good"), (1, 2, "assistant", "yes</s>"), (1, 1, "user", "[INST] hi"), (1, 3, "assistant", None), (1, 3, "assistant", "again"), (2, None, None, "x"), (None, 0, "user|odd\n", "🙂"), (None, 1, "assistant", "🙂<|text|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("layout", F.lit(1))
+    out = chat.format_rows(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.turns_of(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt"), "loss").collect()}
+    assert [tuple(t) for t in got[1].turns] == [("system", "be <|end|> good"), ("user", "[INST] hi"), ("assistant", "yes</s>"), ("assistant", ""), ("assistant", "again")]
+    assert got[1].learnt == "yes</s>again"
+    assert [tuple(t) for t in got[2].turns] == [("", "x")] and got[2].learnt == ""
+    assert [tuple(t) for t in got[None].turns] == [("user|odd\n", "🙂"), ("assistant", "🙂<|text|>")] and got[None].learnt == "🙂<|text|>"
+    assert all(got[1].formatted.count(m) == 5 for m in (chat.TURN, chat.TEXT, chat.END))
+    assert chat.format_rows(df.limit(0)).count() == 0
+
+
+def test_layouts_by_fingerprint(spark):
+    records = {
+        '{"messages":[{"role":"human","content":"q"},{"role":"gpt","content":"a"}]}': ("messages", [("user", "q"), ("assistant", "a")]),
+        '{"conversations":[{"value":"q","from":"human"}]}': ("from and value", [("user", "q")]),
+        '{"prompt":"q","completion":"a"}': ("prompt and completion", [("user", "q"), ("assistant", "a")]),
+        '{"completion":"a","system":"s","prompt":"q"}': ("prompt and completion", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        '{"instruction":"i","input":"x","output":"o"}': ("instruction", [("user", "i\n\nx"), ("assistant", "o")]),
+        '{"instruction":"i","input":null,"output":"o"}': ("instruction", [("user", "i"), ("assistant", "o")]),
+        '{"data":{"prompt":"q","response":"a"}}': ("nested data", [("user", "q"), ("assistant", "a")]),
+        '{"prompt":"q"}': (None, None),
+        "not json": (None, None),
+        None: (None, None),
+    }
+    df = spark.createDataFrame([(i, r, "l") for i, r in enumerate(records)], "id int, record string, layout_ string")
+    got = chat.canonical(df, json="record").orderBy("id").collect()
+    assert [(r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in got] == list(records.values())
+    assert got[2].fingerprint == chat.fingerprint(["prompt", "completion"]) and got[2].fingerprint != got[3].fingerprint
+    typed = spark.createDataFrame([("i", "o")], "instruction string, output string")
+    assert [tuple(t) for t in chat.canonical(typed).first().turns] == [("user", "i"), ("assistant", "o")]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><!-- <p>no</p> -->
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>@@
+<aside><p>Side words that are quite long, so that a plain length test would take them for text.</p></aside>
+<form><p>Your name<input></p></form><section id="comments"><article class="comment"><p>A reader wrote a comment that is long enough to be text.</p></article></section>
+<footer><p>&copy; someone</p></footer><script>var t = "</p>";</script></body></html>"""
+BODY = '<h1>Title &amp;&nbsp;more</h1><p>First   paragraph of\n the text, long enough to be found by its length alone, as texts are.<div class="ad">Buy!</div><p>Short.<br>One.<p>Second &lt;b&gt; 1 < 2 paragraph, also long enough to count, with <b>bold</b>face and so on.</p>'
+TEXT = "Title & more\nFirst paragraph of the text, long enough to be found by its length alone, as texts are.\nShort. One.\nSecond <b> 1 < 2 paragraph, also long enough to count, with boldface and so on."
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='content'>{}</div>", "<main><div>{}</div></main>", "<form><article>{}</article></form>"])
+def test_main_text(wrap):
+    assert html_extract.main_text(PAGE.replace("@@", wrap.replace("{}", BODY))) == TEXT
+
+
+def test_main_text_of_broken_pages(spark):
+    pages = {"": "", None: "", "plain words": "plain words", "<p>Hi": "Hi", "<article><p>a<p>b</article": "a\nb", "<nav>x</nav>": "", "<p>a<!-- never closed": "a", "<p>x <b y='": "x <b y='", "&amp": "&", "<p>" + "w " * 200000: ("w " * 200000).strip(), "<article><header><h1>T</h1></header><p>a</p></article>": "T\na"}
+    df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    for i, want in enumerate(pages.values()):
+        if i != 7:
+            assert got[i].text == want and got[i].n_chars == len(want), i
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_regions():
+    assert html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5]) == [(3, 9)] or html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5])[0][1] >= 9
+    assert html_extract.regions([]) == [] and html_extract.regions([0, 0]) == []
+
+
+def test_licences(spark):
+    mit = next(t for n, t in licences.KNOWN if n == "MIT")
+    varied = mit.replace("<year> <copyright holders>", "2024 Someone").upper().replace("SUBLICENSE", "sublicence").replace(",", " ,")
+    texts = [mit, varied, mit + " extra", "words\nReleased under the MIT Licence!\n(c) me\nreleased UNDER the MIT License", "", None, "Copyright 2020 X"]
+    got = by_id(licences.scan(frame(spark, texts)))
+    assert [got[i].licence for i in range(len(texts))] == ["MIT", "MIT", None, None, None, None, None]
+    assert got[0].text_sha256 == got[1].text_sha256 and got[4].text_sha256 is got[6].text_sha256 is None
+    assert got[3].notices == ["MIT", "MIT"] and got[2].licence is None
+    assert licences.scan(frame(spark, texts).limit(0)).count() == 0
