@@ -94,6 +94,11 @@ def find_duplicates(df: DataFrame, name_col: str | list[str], dob_col: str, post
 
 
 def exact_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with ``group_size``: how many rows share the columns' values (null equals null)."""
+    """``df`` with ``group_size``: how many rows share the columns' values (null equals null).
+
+    Sizes are counted map-side and joined back, so that a group's rows may be split between tasks.
+    """
     need_columns(df, columns, "the table")
-    return df.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy(*(F.col(f"`{c}`") for c in columns))))
+    keys = [f"__g{i}" for i in range(len(columns))]
+    sizes = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(columns, keys))).groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
+    return df.join(sizes, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(columns, keys)]).drop(*keys)
