@@ -65,7 +65,7 @@ def test_pipeline_against_its_stages(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     left = {ids[i]: left[ids[i]] for i in range(len(ids)) if find(i) == i}
-    from test_operators import plain_contamination
+    from test_training_operators import plain_contamination
 
     items = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     left = {d for d, found in plain_contamination(left.items(), items).items() if not found[3]}
