@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from ..errors import ColumnClashError, need_frame
 
 
+#: Where a capitalised word begins, and where a capital follows a small letter or a digit.
+_HUMP = re.compile(r"(?<=.)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])")
+
+
 def snake_case(name: str) -> str:
     """Humps become underscores, marks go, runs of spaces and underscores become one underscore."""
-    humps = re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", name.strip())
-    humps = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", humps)
-    return re.sub(r"[\s_]+", "_", re.sub(r"[^A-Za-z0-9_\s]", "", humps).strip()).lower()
+    split = _HUMP.sub("_", name.strip())
+    kept = "".join(c for c in split if c.isspace() or c == "_" or c.isascii() and c.isalnum())
+    return re.sub(r"[\s_]+", "_", kept.strip()).lower()
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
