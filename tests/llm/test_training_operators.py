@@ -379,7 +379,7 @@ def test_negative_risk_is_corrected():
 def test_quality(spark, labelled):
     docs, labels, truth = labelled
     bad = docs.withColumn("text", F.when(F.col("doc_id") % 8 == 0, F.upper("text")).otherwise(F.col("text"))).withColumn("host", F.when(F.col("doc_id") < 3, F.lit(None)).otherwise(F.pmod("doc_id", F.lit(5)).cast("string")))
-    got = by_id(quality.score(bad, labels, F.col("host"), F.col("toxic")))
+    got = by_id(quality.score(bad, labels.where("doc_id % 3 != 0"), F.col("host"), F.col("toxic")))  # a third is held out
     assert len(got) == 900 and all(got[i].keep == (not truth[i]) for i in got)
     assert quality.score(bad.limit(0), labels, F.col("host"), F.col("toxic")).count() == 0
     none = quality.score(frame(spark, ["", None, "abc"]), labels.limit(0), F.col("_len"), F.col("_len")).collect()
