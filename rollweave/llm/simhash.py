@@ -55,16 +55,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row of ``docs`` (doc_id, text); fp holds the 64 bits, signed."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` in a column ``name``: a long that holds the 64 bits, signed."""
     short_batches(docs.sparkSession)
+    text = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("long")).schema)
 
 
 def _cut(first: int, bits: int) -> list[tuple[int, int]]:
@@ -176,26 +177,33 @@ def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataF
     return met.mapInArrow(lambda batches: bucket_links(batches, distance), "a long, b long")
 
 
-def components(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``; component_id is the smallest doc_id that links reach."""
-    rows = store(fingerprints(docs, shingle), "fingerprints")
-    groups = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def _first_of_each(rows: DataFrame, fp: str, first, distance: int) -> DataFrame:
+    """(fp, first): the smallest ``first`` of the component of every distinct fingerprint."""
+    groups = store(rows.select(F.col(fp).alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("first")), "distinct-fingerprints")
     found = store(links(groups.select("fp"), distance).distinct(), "fingerprint-links")
     labels = connected_components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
     linked = groups.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = store(linked.join(names, "root").select("fp", "component_id"), "named-fingerprints")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = linked.groupBy("root").agg(F.min("first").alias("first"))
+    return store(linked.drop("first").join(names, "root").select("fp", "first"), "named-fingerprints")
+
+
+def components(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``; component_id is the smallest doc_id that links reach."""
+    short = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = store(fingerprints(short, shingle).select("doc_id", "fp"), "fingerprints")
+    named = _first_of_each(rows, "fp", F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id")), distance)
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id (of repeated rows, one); columns as they were."""
-    hit = fresh("_keep", docs.columns)
-    found = components(docs, distance, shingle)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(hit)).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(hit)), "left_semi")
-    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(hit))
-    again = small(store(repeats, "repeated-ids"))
-    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
-    twice = kept.join(again, F.col("doc_id").eqNullSafe(F.col(hit)), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).select(*docs.columns)
+    """``docs`` with one row of each component, of the smallest doc_id (of repeated rows, the first as stored); columns as they were.
+
+    Rows are stored once with a number and their fingerprint; only numbers of rows that go are looked up, by a broadcast while
+    a count shows that they are few.
+    """
+    fp, row = fresh("_fp", docs.columns), fresh("_row", docs.columns)
+    rows = store(fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), shingle, fp), "numbered-fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    named = _first_of_each(rows, fp, first, distance).select(F.col("fp").alias(fp), F.col("first.row").alias("stays"))
+    gone = store(rows.select(row, fp).join(named, fp).where(F.col(row) != F.col("stays")).select(row), "near-copies")
+    return rows.join(small(gone), row, "left_anti").select(*docs.columns)

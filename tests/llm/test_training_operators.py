@@ -234,6 +234,14 @@ def test_simhash(spark, near):
     assert simhash.components(docs.limit(0)).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (None, a), (None, b + " end c d"), (None, "x y z"), (None, None)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(docs).collect())
+    fps = [simhash.fingerprint(t) for _, t in docs.collect()]
+    assert len(kept) == len(set(plain_components(fps))) and kept.count((1, a)) == 1 and (1, b) in kept and (0, "") in kept
+
+
 def test_simhash_links_lose_nothing(spark):
     rng = np.random.default_rng(2)
     fps = {int(x) for x in rng.integers(0, 1 << 63, 60)}
