@@ -7,7 +7,7 @@ more than 62 characters. Masks of a text's characters are made once for each tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SPACE, _col
@@ -86,6 +86,14 @@ def common(a: Column, b: Column) -> Column:
     return F.when(a["masks"].isNotNull(), _lcs(a, b)).when(b["masks"].isNotNull(), _lcs(b, a)).when(a["words"].isNotNull() & b["words"].isNotNull(), _long_lcs(a, b))
 
 
+def with_common(pairs: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
+    """``pairs`` with the LCS length of two prepared texts, computed once for each pair.
+
+    A plain column would be copied into every filter and projection above it, and into the join below; a generator isn't.
+    """
+    return pairs.select("*", F.inline(F.array(F.struct(common(a, b).alias(name)))))
+
+
 def reaches(lcs: Column, a: Column, b: Column, threshold: float) -> Column:
     """Whether the similarity is at least ``threshold``, without dividing."""
     return 200 * lcs >= F.lit(threshold) * (a["size"] + b["size"])

@@ -76,10 +76,10 @@ def find_duplicates(df: DataFrame, name_col: str | list[str], dob_col: str, post
     on = (F.col("u") < F.col("v")) & S.may_reach(F.col("pu"), F.col("pv"), threshold)
     for c in b:
         on = on & (F.col(c) == F.col(c + "r"))
-    pairs = left.join(right, on).withColumn("__lcs", S.common(F.col("pu"), F.col("pv"))).where(S.reaches(F.col("__lcs"), F.col("pu"), F.col("pv"), threshold))
+    pairs = S.with_common(left.join(right, on), F.col("pu"), F.col("pv"), "__lcs").where(S.reaches(F.col("__lcs"), F.col("pu"), F.col("pv"), threshold))
     if twin_protection:
-        first = S.common(F.col("fu"), F.col("fv"))
-        alike = F.when((F.col("fu")["size"] + F.col("fv")["size"]) == 0, F.lit(100 >= twin_threshold)).otherwise(S.reaches(first, F.col("fu"), F.col("fv"), twin_threshold))
+        pairs = S.with_common(pairs, F.col("fu"), F.col("fv"), "__first")
+        alike = F.when((F.col("fu")["size"] + F.col("fv")["size"]) == 0, F.lit(100 >= twin_threshold)).otherwise(S.reaches(F.col("__first"), F.col("fu"), F.col("fv"), twin_threshold))
         pairs = pairs.where(alike)
     links = pairs.select("u", "v")
     groups = of_row.groupBy("__exact").agg(F.min("__node").alias("u"), F.max("__node").alias("w")).where("u < w")

@@ -128,7 +128,7 @@ def _best(left: DataFrame, register: DataFrame, left_keys: dict[str, Column], re
             on = on & (F.col(f"__l_{k}") == F.col(f"__r_{k}"))
     if within is not None:
         on = on & within
-    scored = wanted.join(names, on).withColumn("__lcs", S.common(l, r)).where(S.reaches(F.col("__lcs"), l, r, threshold))
+    scored = S.with_common(wanted.join(names, on), l, r, "__lcs").where(S.reaches(F.col("__lcs"), l, r, threshold))
     rank = F.struct((-S.similarity(F.col("__lcs"), l, r)).alias("score"), F.col("__r_first.order").alias("order"), F.col("__r_first.row").alias("row"))
     return keyed, scored.groupBy(*l_keys).agg(F.min(rank).alias("__best"))
 
