@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, small
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n, positives = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # a label says whether its text is toxic; the share of such labels is the class prior
     chosen = sample(known.where("toxic = 1"), positives, MAX_POSITIVE, 1).select("doc_id")
-    positive = [r[0] for r in own.join(chosen, "doc_id").orderBy("doc_id").select("text").collect()]
+    positive = [r[0] for r in own.join(small(chosen), "doc_id").orderBy("doc_id").select("text").collect()]
     unlabelled = [r[0] for r in sample(own, own.count(), MAX_UNLABELLED, 2).orderBy("doc_id").select("text").collect()]
     return fit(positive, unlabelled, positives / n if n else 0.01)
 
