@@ -51,11 +51,6 @@ def _names(docs: DataFrame) -> dict[str, str]:
     return {k: fresh(f"_{k}", docs.columns) for k in ("norm", "len", "prefix", "size", "sha", "row", "full", "more", "group")}
 
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that more than one row has."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
-
-
 def refine(docs: DataFrame, digest: bool = False, carry: bool = False) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """(rows, groups, column names): rows with the hash of the whole text where a group of more than one is left.
 
@@ -64,9 +59,10 @@ def refine(docs: DataFrame, digest: bool = False, carry: bool = False) -> tuple[
     names = _names(docs)
     keep = docs.columns if carry else ["doc_id"]
     by_length, by_prefix = [names["len"]], [names["len"], names["prefix"]]
-    keys = store(keyed(docs, names, False).select(*by_prefix), "dedup-keys")
-    lengths = repeated(keys, by_length)
-    prefixes = store(repeated(keys.join(lengths, by_length, "left_semi"), by_prefix), "dedup-prefixes")
+    # rows are counted map-side by both keys; lengths are settled on the counts, so a common length is a row for each of its prefixes
+    counts = store(keyed(docs, names, False).groupBy(*by_prefix).agg(F.count(F.lit(1)).alias("n_")), "dedup-counts")
+    lengths = counts.groupBy(*by_length).agg(F.sum("n_").alias("n_")).where("n_ > 1").select(*by_length)
+    prefixes = store(counts.join(lengths, by_length, "left_semi").where("n_ > 1").select(*by_prefix), "dedup-prefixes")
     rows = keyed(docs, names, digest).join(small(prefixes.withColumn(names["more"], F.lit(True))), by_prefix, "left")
     full = F.when(F.col(names["more"]), F.col(names["sha"]) if digest else F.sha2(F.col(names["norm"]).cast("binary"), 256))
     rows = rows.withColumn(names["full"], full).withColumn(names["row"], F.monotonically_increasing_id())
