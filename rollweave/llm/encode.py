@@ -28,7 +28,7 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = re.compile(r"\s")
 #: Never part of a text that _HARD passes.
 _BAR = "\x01"
-MEMO = 900_000
+MEMO = 600_000
 
 
 def _byte_letters() -> dict[int, int]:

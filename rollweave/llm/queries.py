@@ -8,7 +8,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import chat, decontam, exact_dedup, html_extract, licences, packing, quality, repair, simhash, toxicity
 
@@ -25,11 +24,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-@F.pandas_udf(T.LongType())
-def _crc32(ids):
-    return ids.map(zlib.crc32)
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a model that has seen no label of the held-out ones."""
     docs = table(spark, sf_dir, "documents")
@@ -61,8 +55,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from Re-Pair files."""
-    docs = repair.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
-    return docs.select("doc_id", "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
+    return repair.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, zlib.crc32).withColumnRenamed("told", "ids_crc32")
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ all their copies, ordered by text; an empty table gives no shards and an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, store
+from .common import short_batches, small, store
 from .encode import encoder
 
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 ROUNDS = 4
 RULES_A_ROUND = 96
 LEAST_COUNT = 16
@@ -59,8 +59,8 @@ def frequent_pairs(symbols: np.ndarray, inside: np.ndarray, most: int, least: in
         if n[k] < least or len(chosen) == most:
             break
         a, b = int(keys[k]) >> 32, int(keys[k]) & 0xFFFFFFFF
-        # pairs of a round never overlap in the text: no symbol is right in one and left in another
-        if a != b and a not in rights and b not in lefts:
+        # pairs of a round never overlap in the text: no symbol is right in one and left in another (a doubled one is alone)
+        if a not in rights and b not in lefts and (a != b or a not in lefts):
             lefts.add(a)
             rights.add(b)
             chosen.append(int(keys[k]))
@@ -90,6 +90,11 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray) -> dict[str, np.ndarray]:
         where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
         hit = pairs[where] == key
         at, where = at[hit], where[hit]
+        # only a doubled symbol can match at neighbouring places: every other one of such a run is taken, from its left
+        new_run = np.diff(at, prepend=-2) > 1
+        order = np.arange(len(at))
+        take = (order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0
+        at, where = at[take], where[take]
         symbols[at] = made + where.astype(np.uint32)
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
@@ -172,10 +177,11 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_t
     return rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, FILE_SCHEMA)
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
+def read_documents(shards: DataFrame, told: Callable[[bytes], int] | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document of stored shards, decoded from the grammar.
 
-    Only one number a part (there are as many as shuffle partitions) meets at the driver: its ids.
+    ``told`` replaces the ids by a number made of their bytes, where they were decoded. Only one number a part (there are as
+    many as shuffle partitions) meets at the driver: its ids. Shards aren't shuffled: their places are broadcast after a check.
     """
     spark = shards.sparkSession
     short_batches(spark)
@@ -187,13 +193,15 @@ def read_documents(shards: DataFrame) -> DataFrame:
     starts = spark.createDataFrame(before, "part int, base_ long")
     earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     places = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before_")).join(F.broadcast(starts), "part")
-    placed = shards.join(places.select("part", "shard", (F.col("base_") + F.col("before_")).alias("start_")), ["part", "shard"])
-    return placed.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
+    placed = shards.join(small(places.select("part", "shard", (F.col("base_") + F.col("before_")).alias("start_"))), ["part", "shard"])
+    columns = ["start_", "doc_ids", "doc_nulls", "doc_tokens", "alphabet", "rules", "wide", "symbols"]
+    return placed.select(*columns).mapInArrow(lambda b: _decode(b, told), "doc_id long, start long, n_tokens long, " + ("ids binary" if told is None else "told long"))
 
 
-def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterable[pa.RecordBatch], told: Callable[[bytes], int] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             table = expansion_table(np.frombuffer(row["alphabet"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2))
             symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
             raw = memoryview(expand(symbols, table).astype("<u4", copy=False).tobytes())
@@ -202,10 +210,9 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(n)
             for at in range(0, len(n), 512):
                 e, m = ends[at : at + 512], n[at : at + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[at : at + 512], pa.int64(), mask=nulls[at : at + 512]), pa.array(row["start_"] + e - m), pa.array(m), pa.array([raw[4 * (b - k) : 4 * b] for b, k in zip(e.tolist(), m.tolist())], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                parts = (raw[4 * (b - k) : 4 * b] for b, k in zip(e.tolist(), m.tolist()))
+                last = pa.array(list(parts), pa.binary()) if told is None else pa.array([told(p) for p in parts], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 512], pa.int64(), mask=nulls[at : at + 512]), pa.array(row["start_"] + e - m), pa.array(m), last], ["doc_id", "start", "n_tokens", "ids" if told is None else "told"])
 
 
 def decode_document(row: dict, k: int) -> np.ndarray:
@@ -215,6 +222,6 @@ def decode_document(row: dict, k: int) -> np.ndarray:
     return expand(symbols, expansion_table(np.frombuffer(row["alphabet"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2)))
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0, told: Callable[[bytes], int] | None = None) -> DataFrame:
     """Encode, write the files into the shared folder, and read every document back from them."""
-    return read_documents(store(encode_shards(docs, tokenizer_path, end_id), "repair"))
+    return read_documents(store(encode_shards(docs, tokenizer_path, end_id), "repair"), told)
