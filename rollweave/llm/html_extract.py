@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element; what never is main text (scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, hidden elements) leaves blank lines. The lengths of BLOCK successive
-lines are summed at every line. Where the sum surges the text begins, where it dives to zero it ends; lines next to a
-region belong to it up to the first blank one. Text between is kept whole, in page order. On pages that mark their article,
+sidebars, notices, adverts, forms, reader comments, hidden elements) leaves one blank line for each element; nothing else
+does. The lengths of BLOCK successive lines are summed at every line. Where the sum surges the text begins, where it dives
+to zero (BLOCK left-out elements in a row) it ends; short lines before a region belong to it back to the first blank one. Text between is kept whole, in page order. On pages that mark their article,
 regions are then held against it: its lines are all kept, those outside are not.
 
 Edge cases: null or empty html, and pages of boilerplate alone, give an empty text; broken markup is read as far as it goes (an
@@ -76,12 +76,11 @@ class _Page:
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
-        article = self.stack[-1][2] if self.stack else 0
-        if text or (self.lines and self.lines[-1][0]):
-            self.lines.append((text, article))
+        if text:
+            self.lines.append((text, self.stack[-1][2] if self.stack else 0))
 
     def blank(self) -> None:
-        """What is left out counts as a line without text."""
+        """A left-out element counts as a line without text."""
         self.line()
         self.lines.append(("", 0))
 
@@ -138,7 +137,7 @@ class _Page:
 
 
 def lines_of(source: str) -> list[tuple[str, int]]:
-    """Lines of a page with their text lengths' places kept: left-out parts are blank lines."""
+    """Lines of a page, one for each block of text; each left-out element is one blank line."""
     page, at = _Page(), 0
     while at < len(source):
         open_ = source.find("<", at)

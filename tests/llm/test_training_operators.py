@@ -478,6 +478,19 @@ def test_main_text_of_broken_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_short_blocks_of_unmarked_pages():
+    long, ad = "<p>" + "word " * 100 + "</p>", '<div class="ad">Buy!</div>'
+    text = ("word " * 100).strip()
+    for page, want in {
+        f"<h1>Short title</h1><p>By Ann</p>{long}": ["Short title", "By Ann", text],
+        f"<nav>x</nav><h2>A</h2><ul><li>b</li><li>c</li></ul><p>d</p><p>e</p>{long}": ["A", "b", "c", "d", "e", text],
+        f"{long}{ad}{ad}<p>Short.</p><p>End.</p><p>Really.</p><p>Yes.</p><footer>f</footer>": [text, "Short.", "End.", "Really.", "Yes."],
+        f"{long}{ad}<p>Mid.</p>{ad}{ad}<p>End.</p>": [text, "Mid.", "End."],
+        f"<p>Hop</p><nav>n</nav>{ad}{ad}<p>By Ann</p>{long}<p>End.</p>{ad * 3}<p>Imprint</p>": ["By Ann", text, "End."],
+    }.items():
+        assert html_extract.main_text(f"<body><div>{page}</div></body>").split("\n") == want
+
+
 def test_regions():
     assert html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5]) == [(3, 9)] or html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5])[0][1] >= 9
     assert html_extract.regions([]) == [] and html_extract.regions([0, 0]) == []
