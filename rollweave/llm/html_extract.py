@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block element; what never is main te
 sidebars, notices, adverts, forms, reader comments, hidden elements) leaves one blank line for each element; nothing else
 does. The lengths of BLOCK successive lines are summed at every line. Where the sum surges the text begins, where it dives
 to zero (BLOCK left-out elements in a row) it ends; short lines before a region belong to it back to the first blank one. Text between is kept whole, in page order. On pages that mark their article,
-regions are then held against it: its lines are all kept, those outside are not.
+its edges are edges of regions too: no sum and no region reaches over them. Outside, text must surge by itself; inside,
+a sum of SURGE isn't asked where the whole article has none, but dives count.
 
 Edge cases: null or empty html, and pages of boilerplate alone, give an empty text; broken markup is read as far as it goes (an
 unclosed comment, script or tag hides what follows, as in a browser); repeated rows are extracted each; null ids and
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +84,7 @@ class _Page:
     def blank(self) -> None:
         """A left-out element counts as a line without text."""
         self.line()
-        self.lines.append(("", 0))
+        self.lines.append(("", self.stack[-1][2] if self.stack else 0))
 
     def words(self, text: str) -> None:
         if not (self.stack and self.stack[-1][1]):
@@ -192,14 +194,15 @@ def regions(lengths: list[int], block: int = BLOCK, surge: int = SURGE) -> list[
 def main_text(source: str | None, block: int = BLOCK, surge: int = SURGE) -> str:
     """The main text of one page, blocks joined by a line feed."""
     lines = lines_of(source or "")
-    kept = set()
-    for first, last in regions([len(t) for t, _ in lines], block, surge):
-        kept.update(range(first, last))
     best = max((a for t, a in lines if t), default=0)
-    marked = {i for i, (_, a) in enumerate(lines) if best and a >= best}
-    # text found in the marked article: that is the page's; text found elsewhere only: the mark is of something less
-    kept = marked if kept & marked else kept | marked
-    return "\n".join(t for i, (t, _) in enumerate(lines) if t and i in kept)
+    kept: list[str] = []
+    for marked, run in groupby(lines, key=lambda line: line[1] >= best):
+        texts = [t for t, _ in run]
+        lengths = list(map(len, texts))
+        # only a marked article, or a page without one, may be short of SURGE
+        if marked or max(sum(lengths[i : i + block]) for i in range(len(lengths))) >= surge:
+            kept += (t for first, last in regions(lengths, block, surge) for t in texts[first:last] if t)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -491,6 +491,19 @@ def test_short_blocks_of_unmarked_pages():
         assert html_extract.main_text(f"<body><div>{page}</div></body>").split("\n") == want
 
 
+def test_regions_decide_on_marked_pages():
+    long, other, ad = ("word " * 100).strip(), ("more " * 100).strip(), '<div class="ad">Buy!</div>'
+    for page, want in {
+        f"<article><h1>T</h1><p>{long}</p>{ad * 3}<p>Tags: a, b</p></article>": ["T", long],
+        f"<article><h1>T</h1><p>{long}</p>{ad * 2}<p>End.</p></article><p>Imprint</p>": ["T", long, "End."],
+        f"<p>Hop</p><article><h1>T</h1><p>Teaser.</p></article><p>{other}</p>": ["T", "Teaser.", other],
+        "<p>Hop</p><article><p>Only this.</p></article><p>Imprint</p>": ["Only this."],
+    }.items():
+        assert html_extract.main_text(f"<body><div>{page}</div></body>").split("\n") == want
+    page = f"<article><p>{'a' * 60}</p>{ad * 3}<p>{'b' * 50}</p></article>"
+    assert html_extract.main_text(page, surge=50) == "a" * 60 + "\n" + "b" * 50 and html_extract.main_text(page, surge=55) == "a" * 60
+
+
 def test_regions():
     assert html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5]) == [(3, 9)] or html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5])[0][1] >= 9
     assert html_extract.regions([]) == [] and html_extract.regions([0, 0]) == []
