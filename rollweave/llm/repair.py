@@ -30,81 +30,105 @@ from .common import short_batches, small, store
 from .encode import encoder
 
 SHARD_TOKENS = 1 << 19
-ROUNDS = 4
-RULES_A_ROUND = 96
 LEAST_COUNT = 16
-_BUCKETS = 1 << 18
 FILE_SCHEMA = (
     "part int, shard int, n_docs long, n_tokens long, doc_ids binary, doc_nulls binary, alphabet binary, rules binary, "
     "expansions binary, wide boolean, symbols binary, doc_symbols binary, doc_tokens binary"
 )
 
 
-def frequent_pairs(symbols: np.ndarray, inside: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` disjoint pairs (a << 32 | b) by count, each seen at least ``least`` times.
-
-    Counts are exact: buckets of hashed pairs that can't reach ``least`` are ruled out first.
-    ``inside``: whether symbol i and its right neighbour belong to one document.
-    """
-    left, right = symbols[:-1], symbols[1:]
-    bucket = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(14)
-    counts = np.bincount(bucket[inside], minlength=_BUCKETS)
-    # the most frequent pairs fill the fullest buckets; one that holds fewer can't hold a pair with more
-    floor = max(least, int(np.partition(counts, -4 * most)[-4 * most]) if _BUCKETS > 4 * most else least)
-    at = np.flatnonzero((counts >= floor)[bucket] & inside)
-    keys, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
-    order = np.argsort(-n, kind="stable")
+def _grouped(left: np.ndarray, right: np.ndarray, at: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs a << 32 | b, how often, their places, ascending within a pair) of the pairs seen LEAST_COUNT times."""
+    wide, deep = max(1, n_symbols - 1).bit_length(), max(1, int(at.max(initial=0))).bit_length()
+    if 2 * wide + deep <= 64:
+        packed = np.sort((left.astype(np.uint64) << np.uint64(wide) | right.astype(np.uint64)) << np.uint64(deep) | at.astype(np.uint64))
+        pairs, at = packed >> np.uint64(deep), (packed & np.uint64((1 << deep) - 1)).astype(np.int64)
+    else:
+        wide = 32
+        pairs = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        order = np.lexsort((at, pairs))
+        pairs, at = pairs[order], at[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1])))
+    n = np.diff(starts, append=len(pairs))
+    often = n >= LEAST_COUNT
+    pairs = pairs[starts[often]]
+    return pairs >> np.uint64(wide) << np.uint64(32) | pairs & np.uint64((1 << wide) - 1), n[often], at[np.repeat(often, n)]
+
+
+def disjoint_pairs(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Indices of disjoint pairs seen at least half as often as the most frequent and LEAST_COUNT times, by count."""
+    likely = np.flatnonzero(counts >= max(LEAST_COUNT, int(counts.max(initial=0)) // 2))
+    likely = likely[np.argsort(-counts[likely], kind="stable")]
     chosen, lefts, rights = [], set(), set()
-    for k in order[: 8 * most]:
-        if n[k] < least or len(chosen) == most:
-            break
-        a, b = int(keys[k]) >> 32, int(keys[k]) & 0xFFFFFFFF
+    for k, key in zip(likely.tolist(), pairs[likely].tolist()):
+        a, b = key >> 32, key & 0xFFFFFFFF
         # pairs of a round never overlap in the text: no symbol is right in one and left in another (a doubled one is alone)
         if a not in rights and b not in lefts and (a != b or a not in lefts):
             lefts.add(a)
             rights.add(b)
-            chosen.append(int(keys[k]))
-    return np.array(sorted(chosen), np.uint64)
+            chosen.append(k)
+    return chosen
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray) -> dict[str, np.ndarray]:
-    """Grammar of one shard; ``doc_tokens``: how many of ``ids`` each document has (at least one)."""
+    """Grammar of one shard; ``doc_tokens``: how many of ``ids`` each document has (at least one).
+
+    Counts are kept, not taken anew: a pair gets new occurrences only in the round that makes one of its symbols, so one
+    that isn't frequent then never will be, and a replacement takes away at most the pairs at three places.
+    """
     seen = np.zeros(int(ids.max()) + 1, bool)
     seen[ids] = True
-    alphabet, symbols = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.uint32)[ids]
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(doc_tokens) - 1] = True
+    alphabet, n = np.flatnonzero(seen), len(ids)
+    symbols = np.append((np.cumsum(seen) - 1)[ids], -1)  # place n stands for the end of a document on either side
+    ends = np.cumsum(doc_tokens)
+    after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+    after[ends - 1] = n
+    before[ends - np.asarray(doc_tokens)] = n
+    pair_at = np.full(n + 1, -1)  # which frequent pair begins at a place
     rules: list[np.ndarray] = []
     made = len(alphabet)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs = frequent_pairs(symbols, ~last[:-1], RULES_A_ROUND, LEAST_COUNT)
-        if not len(pairs):
-            break
-        first = (pairs >> np.uint64(32)).astype(np.uint32)
-        of_left = np.zeros(made, bool)
-        of_left[first] = True
-        at = np.flatnonzero(of_left[symbols[:-1]] & ~last[:-1])
-        key = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = pairs[where] == key
-        at, where = at[hit], where[hit]
+    at = np.flatnonzero(after[:n] < n)
+    pairs, counts, places = _grouped(symbols[at], symbols[after[at]], at, made)
+    pair_at[places] = np.repeat(np.arange(len(pairs)), counts)
+    where = np.split(places, np.cumsum(counts)[:-1]) if len(pairs) else []
+
+    def forget(at: np.ndarray) -> None:
+        gone = pair_at[at]
+        np.subtract(counts, np.bincount(gone[gone >= 0], minlength=len(counts)), out=counts)
+        pair_at[at] = -1
+
+    while chosen := disjoint_pairs(pairs, counts):
+        found = [where[k] for k in chosen]
+        new = np.repeat(np.arange(len(chosen)), [len(f) for f in found])
+        at = np.concatenate(found)
+        still = pair_at[at] == np.array(chosen)[new]
+        at, new = at[still], new[still]
         # only a doubled symbol can match at neighbouring places: every other one of such a run is taken, from its left
-        new_run = np.diff(at, prepend=-2) > 1
+        new_run = np.append(True, at[1:] != after[at[:-1]])
         order = np.arange(len(at))
         take = (order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0
-        at, where = at[take], where[take]
-        symbols[at] = made + where.astype(np.uint32)
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([first, (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1))
-        made += len(pairs)
+        at, new = at[take], new[take]
+        second = after[at]
+        for x in (at, second, before[at]):  # in this order: what precedes one may be the second symbol of another
+            forget(x)
+        symbols[at], after[at], alive[second] = made + new, after[second], False
+        before[after[at]] = at
+        key = pairs[chosen]
+        rules.append(np.stack([key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        left = before[at]
+        at = np.concatenate((at[after[at] < n], left[(left < n) & (symbols[left] < made)]))
+        made += len(chosen)
+        more, often, places = _grouped(symbols[at], symbols[after[at]], at, made)
+        if len(more):
+            pair_at[places] = np.repeat(np.arange(len(pairs), len(pairs) + len(more)), often)
+            where += np.split(places, np.cumsum(often)[:-1])
+            pairs, counts = np.concatenate((pairs, more)), np.concatenate((counts, often))
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    ends = np.flatnonzero(last) + 1
-    return {"alphabet": alphabet.astype("<u4"), "rules": rule, "expansions": expansion_lengths(len(alphabet), rule)[len(alphabet) :], "symbols": symbols, "doc_symbols": np.diff(ends, prepend=0)}
+    ends = np.flatnonzero(after[:n][alive] == n) + 1
+    return {
+        "alphabet": alphabet.astype("<u4"), "rules": rule, "expansions": expansion_lengths(len(alphabet), rule)[len(alphabet) :],
+        "symbols": symbols[:n][alive].astype(np.uint32), "doc_symbols": np.diff(ends, prepend=0),
+    }
 
 
 def expansion_lengths(n_alphabet: int, rules: np.ndarray) -> np.ndarray:

@@ -89,6 +89,20 @@ def test_repair_grammar():
     assert len(repair.expand(g["symbols"][: ends[0]], table)) == 401  # no rule reaches over a document's end
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(1, 400, rng.integers(2, 9)) for _ in range(900)]
+    docs = [np.append(np.concatenate([words[w] for w in np.minimum(rng.zipf(1.3, 120), 900) - 1]), 0).astype(np.uint32) for _ in range(80)]
+    docs += [np.full(n, 5, np.uint32) for n in (1, 2, 3, 1000)]
+    g = repair.compress(np.concatenate(docs), np.array([len(d) for d in docs]))
+    assert (repair.expand(g["symbols"], repair.expansion_table(g["alphabet"], g["rules"])) == np.concatenate(docs)).all()
+    found = {}
+    for doc in np.split(g["symbols"].tolist(), np.cumsum(g["doc_symbols"])[:-1]):
+        for pair in zip(doc.tolist(), doc.tolist()[1:]):
+            found[pair] = found.get(pair, 0) + 1
+    assert max(found.values()) < repair.LEAST_COUNT
+
+
 def test_open_bins_against_plain_best_fit():
     rng = np.random.default_rng(4)
     for limit in (1, 5, 1000):
