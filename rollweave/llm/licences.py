@@ -2,7 +2,7 @@
 
 Texts are put into a canonical form (case, punctuation, copyright lines, equivalent spellings), hashed, and the digests of
 entire texts are joined with those of known licences; each line of a text is looked up in the same way as a notice. The
-known texts are few and fixed, so their table is broadcast after a check of its size; the documents are never shuffled: lines
+known texts are few (KNOWN, the files of ``licence_texts``, what ``read_texts`` reads), so their table is broadcast after a check of its size; the documents are never shuffled: lines
 are counted inside their own row.
 
 Edge cases: null texts are empty; an empty canonical form matches nothing; repeated rows and lines count each; an empty
@@ -12,6 +12,7 @@ table gives an empty result; extra columns aren't read.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,14 +87,36 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain."),
 )
 
-#: A line that states whose work it is.
-COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: A line that states whose work it is; prose of a wrapped licence may begin with the same word.
+COPYRIGHT = (
+    r"(?m)^[^\S\n]*(?:©|\(c\)[^\S\n]*(?:[\d<\[{]|©|copyright\b)|copyright\b[^\S\n:,]*(?:\(c\)|©|by\b|[\d<\[{]"
+    r"|(?!(?:notices?|holders?|owners?|laws?|treat(?:y|ies))\b)[^\n]*\b(?:authors|contributors|developers|inc|llc|ltd|gmbh|corp|corporation|foundation|(?:19|20)\d\d)\b))[^\n]*$"
+)
 #: One of these is in every known text.
 HINT = "licen[cs]|permission|copyright|software"
 #: What separates words in the canonical form.
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+"
 
 
+def _variants(licence: str, text: str) -> list[tuple[str, str]]:
+    """A file's text, the same without what follows its terms (how to apply them), and a BSD text with its usual second line."""
+    end = re.search(r"(?im)^[^\S\n]*end of (?:the )?terms and conditions[^\n]*$", text)
+    out = [text] + ([text[: end.end()], text[: end.start()]] if end else []) + ["All rights reserved.\n" + text] * licence.startswith("BSD")
+    return [(licence, t) for t in out]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the whole licences that are shipped: files named by their SPDX identifiers."""
+    files = (f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt"))
+    return [v for f in sorted(files, key=lambda f: f.name) for v in _variants(f.name[:-4], f.read_text("utf-8"))]
+
+
+def read_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(licence, text) of a folder of ``<SPDX identifier>.txt`` files, such as SPDX publishes: more ``known`` for ``scan``."""
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1), "value")
+    return [v for name, text in sorted(map(tuple, rows.collect())) for v in _variants(name, text)]
+
+
 def canonical(text: Column) -> Column:
     """Canonical form: words in lower case, one space apart; null for texts without words."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
@@ -115,9 +138,13 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.select(digest(F.col("text")).alias("digest"), "licence").where("digest IS NOT NULL").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
-    """(doc_id, text_sha256 of the canonical form, licence of the entire text, notices: licences of its lines, sorted)."""
+def scan(docs: DataFrame, known=None) -> DataFrame:
+    """(doc_id, text_sha256 of the canonical form, licence of the entire text, notices: licences of its lines, sorted).
+
+    ``known``: (licence, text) pairs, by default KNOWN and the shipped texts.
+    """
     spark = docs.sparkSession
+    known = [*KNOWN, *(v for n, t in KNOWN if n.startswith("BSD") for v in _variants(n, t)), *full_texts()] if known is None else list(known)
     table = known_digests(spark, known)
     row = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_sha256", digest(F.col("text")))
     by_text = row.join(F.broadcast(table), F.col("text_sha256") == F.col("digest"), "left").drop("digest")

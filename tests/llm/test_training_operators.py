@@ -532,3 +532,21 @@ def test_licences(spark):
     assert got[0].text_sha256 == got[1].text_sha256 and got[4].text_sha256 is got[6].text_sha256 is None
     assert got[3].notices == ["MIT", "MIT"] and got[2].licence is None
     assert licences.scan(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_full_and_wrapped_licences(spark, tmp_path):
+    import textwrap
+
+    isc = next(t for n, t in licences.KNOWN if n == "ISC").replace("<year> <owner>", "2024 Someone")
+    full = dict(reversed(licences.full_texts()))
+    assert set(full) >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC0-1.0"}
+    texts = [("ISC", "\n".join(textwrap.fill(p, width) for p in isc.split("\n"))) for width in range(40, 100)]
+    assert any("\ncopyright notice" in t for _, t in texts)
+    texts += [*full.items(), *((n, "\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))) for n, t in full.items() for width in (60, 79) if n in ("MPL-2.0", "BSD-3-Clause", "Unlicense", "CC0-1.0"))]
+    texts += [("GPL-3.0", full["GPL-3.0"].split("END OF TERMS")[0]), ("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2024 Someone"))]
+    texts += [(None, full["GPL-3.0"] + " more"), ("BSD-2-Clause", next(t for n, t in licences.KNOWN if n == "BSD-2-Clause").replace("(c) <year> <owner>", "The Some Authors\nAll rights reserved."))]
+    got = by_id(licences.scan(frame(spark, [t for _, t in texts])))
+    assert [got[i].licence for i in range(len(texts))] == [n for n, _ in texts]
+    (tmp_path / "Own-1.0.txt").write_text("My own licence\nhas two lines.")
+    mine = licences.read_texts(spark, str(tmp_path))
+    assert licences.scan(frame(spark, ["MY OWN LICENSE has two lines"]), [*licences.KNOWN, *mine]).first().licence == "Own-1.0"
