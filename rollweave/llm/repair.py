@@ -239,11 +239,36 @@ def _decode(batches: Iterable[pa.RecordBatch], told: Callable[[bytes], int] | No
                 yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 512], pa.int64(), mask=nulls[at : at + 512]), pa.array(row["start_"] + e - m), pa.array(m), last], ["doc_id", "start", "n_tokens", "ids" if told is None else "told"])
 
 
+def decode_range(row: dict, k: int, first: int, last: int) -> np.ndarray:
+    """Random access: ids ``first`` up to ``last`` of document ``k`` of one shard row.
+
+    Expansion lengths tell which symbols reach into the range; level by level only those are expanded.
+    """
+    alphabet, rules = np.frombuffer(row["alphabet"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+    lengths = np.concatenate((np.ones(len(alphabet), np.int64), np.frombuffer(row["expansions"], "<u4").astype(np.int64)))
+    ends = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))
+    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")[ends[k - 1] if k else 0 : ends[k]].astype(np.int64)
+    first = max(0, first)
+    while True:
+        each = lengths[symbols]
+        starts = np.cumsum(each) - each
+        inside = (starts + each > first) & (starts < last)
+        if first >= last or not inside.any():
+            return alphabet[:0]
+        before = int(starts[inside][0])
+        symbols, first, last = symbols[inside], first - before, last - before
+        deep = symbols >= len(alphabet)
+        if not deep.any():
+            return alphabet[symbols]
+        pair = rules[symbols[deep] - len(alphabet)]
+        at = (np.cumsum(1 + deep) - 1 - deep)[deep]
+        symbols = np.repeat(symbols, 1 + deep)
+        symbols[at], symbols[at + 1] = pair[:, 0], pair[:, 1]
+
+
 def decode_document(row: dict, k: int) -> np.ndarray:
     """Random access: the ids of document ``k`` of one shard row, from its own symbols alone."""
-    ends = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))
-    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")[ends[k - 1] if k else 0 : ends[k]]
-    return expand(symbols, expansion_table(np.frombuffer(row["alphabet"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2)))
+    return decode_range(row, k, 0, int(np.frombuffer(row["doc_tokens"], "<u4")[k]))
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0, told: Callable[[bytes], int] | None = None) -> DataFrame:

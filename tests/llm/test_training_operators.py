@@ -89,6 +89,18 @@ def test_repair_grammar():
     assert len(repair.expand(g["symbols"][: ends[0]], table)) == 401  # no rule reaches over a document's end
 
 
+def test_repair_range_of_a_document(spark, plain_ids, monkeypatch):
+    texts = ["a b c a b c d " * 60, "", "zig zag " * 90]
+    rows = [r.asDict() for r in repair.encode_shards(frame(spark, texts * 20).coalesce(1), PATH).collect()]
+    monkeypatch.setattr(repair, "expansion_table", None)  # no rule may be expanded that isn't needed
+    for r in rows:
+        for k, d in enumerate(np.frombuffer(r["doc_ids"], "<i8")[:3]):
+            ids = plain_ids(texts[d % 3])
+            assert repair.decode_document(r, k).tolist() == ids
+            for first, last in [(0, 1), (0, 7), (5, 6), (13, 40), (len(ids) - 3, len(ids)), (2, 10**6), (4, 4), (9, 3), (10**6, 10**7)]:
+                assert repair.decode_range(r, k, first, last).tolist() == ids[max(0, first) : last]
+
+
 def test_repair_leaves_no_frequent_pair():
     rng = np.random.default_rng(1)
     words = [rng.integers(1, 400, rng.integers(2, 9)) for _ in range(900)]
