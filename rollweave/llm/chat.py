@@ -3,7 +3,7 @@
 A record's layout is the set of field paths that it fills (``messages[].role``, ``prompt``, ...). The sorted paths are
 hashed to a fingerprint, and fingerprints select declarative mappings that say how a layout becomes turns (role, text).
 Typed columns, structs and arrays of structs are fingerprinted as they are; JSON records are first read with the union of all
-layouts' schemas. A record whose fingerprint no mapping has keeps null turns and its fingerprint, so that it can be reported.
+layouts' schemas, and what these lack is fingerprinted with its shape. A record whose fingerprint no mapping has keeps null turns and its fingerprint, so that it can be reported.
 
 The template puts a control string before each role and text and after each turn. Control strings of this and of
 common other templates inside texts are escaped by a backslash after their first character, one more if there are some
@@ -131,10 +131,37 @@ def _field(c: Column, path: str) -> Column:
     return c
 
 
-def fingerprint_of(schema: T.StructType, of) -> Column:
-    """SHA-256 of a row's filled paths, sorted, one a line."""
-    leaves = sorted(_present(schema, of))
-    return F.sha2(F.concat_ws("\n", *(F.when(has, F.lit(path)) for path, has in leaves)).cast("binary"), 256)
+def _unknown(texts: Column, schema: T.StructType, prefix: str = "") -> Column:
+    """What JSON objects fill beyond ``schema``: array of (path, shape) lines; scalars of any type have one shape."""
+    entries = F.flatten(F.transform(texts, lambda t: F.coalesce(F.map_entries(F.from_json(t, "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))))
+    shaped = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).alias("shape")))
+
+    def extra(e: Column) -> Column:
+        known = F.lit(False)
+        for f in schema.fields:
+            as_read = "OBJECT<.*" if isinstance(f.dataType, T.StructType) else "ARRAY<OBJECT<.*" if isinstance(f.dataType, T.ArrayType) else "(?!OBJECT<|ARRAY<).*"
+            known = known | (e["key"] == f.name) & F.regexp_like(e["shape"], F.lit(f"(?s)^{as_read}"))
+        return ~known & ~F.regexp_like(e["shape"], F.lit(r"^(?:ARRAY<)*(?:VOID|OBJECT<>)>*$"))
+
+    scalars = r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
+    out = F.transform(F.filter(shaped, extra), lambda e: F.concat(F.lit(prefix), e["key"], F.lit(" "), F.regexp_replace(e["shape"], scalars, "SCALAR")))
+    for f in schema.fields:
+        place = f"$['{f.name}']"
+        inner = F.transform(texts, lambda t: F.get_json_object(t, place))  # noqa: B023
+        if isinstance(f.dataType, T.StructType):
+            out = F.concat(out, _unknown(F.array_compact(inner), f.dataType, f"{prefix}{f.name}."))
+        elif isinstance(f.dataType, T.ArrayType):
+            each = F.flatten(F.array_compact(F.transform(inner, lambda t: F.from_json(t, "array<string>"))))
+            out = F.concat(out, _unknown(F.array_compact(each), f.dataType.elementType, f"{prefix}{f.name}[]."))
+    return out
+
+
+def fingerprint_of(schema: T.StructType, of, json: Column | None = None) -> Column:
+    """SHA-256 of a row's filled paths, sorted, one a line; ``json``: the record's text, for what ``schema`` lacks."""
+    paths = [F.when(has, F.lit(path)) for path, has in sorted(_present(schema, of))]
+    if json is not None:
+        paths = [F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*paths)), _unknown(F.array_compact(F.array(json)), schema))))]
+    return F.sha2(F.concat_ws("\n", *paths).cast("binary"), 256)
 
 
 _TURNS = "array<struct<role:string,text:string>>"
@@ -183,7 +210,7 @@ def canonical(df: DataFrame, columns: list[str] | None = None, json: str | None
         schema, record = T.StructType([df.schema[c] for c in columns or df.columns]), None
         of = lambda n: F.col(f"`{n}`")
     mark = fresh("_fingerprint", df.columns)
-    df = df.withColumn(mark, fingerprint_of(schema, of))
+    df = df.withColumn(mark, fingerprint_of(schema, of, None if json is None else F.col(json)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for layout in layouts:
         if (made := _mapped(layout, schema, of)) is not None:

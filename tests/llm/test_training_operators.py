@@ -480,6 +480,27 @@ def test_layouts_by_fingerprint(spark):
     assert [tuple(t) for t in chat.canonical(typed).first().turns] == [("user", "i"), ("assistant", "o")]
 
 
+def test_unknown_fields_of_json_records(spark):
+    records = {
+        '{"prompt":"q","response":"a"}': "prompt and response",
+        '{"prompt":"q","response":"a","history":[["x","y"]]}': None,
+        '{"prompt":"q","response":"a","history":[],"meta":null,"tags":{}}': "prompt and response",
+        '{"prompt":"q","response":"a","score":1}': None,
+        '{"prompt":"q","response":"a","score":2.5}': None,
+        '{"prompt":{"text":"q"},"response":"a"}': None,
+        '{"prompt":"[INST] {q}","response":5}': "prompt and response",
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}': "messages",
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","tool_calls":[{"id":"1"}]}]}': None,
+        '{"messages":[{"role":"user","content":[{"type":"text"}]}]}': None,
+        '{"data":{"prompt":"q","response":"a","history":["x"]}}': None,
+    }
+    df = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    got = chat.canonical(df, json="record").orderBy("id").collect()
+    assert [r.layout for r in got] == list(records.values())
+    assert all((r.turns is None) == (r.layout is None) for r in got)
+    assert got[3].fingerprint == got[4].fingerprint and len({r.fingerprint for r in got}) == len(got) - 3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><!-- <p>no</p> -->
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>@@
 <aside><p>Side words that are quite long, so that a plain length test would take them for text.</p></aside>
