@@ -90,7 +90,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(after[:n] < n)
     pairs, counts, places = _grouped(symbols[at], symbols[after[at]], at, made)
     pair_at[places] = np.repeat(np.arange(len(pairs)), counts)
-    where = np.split(places, np.cumsum(counts)[:-1]) if len(pairs) else []
+    # places of pair k: those of its round's array from begin[k], as many as it had then
+    filed, rounds, begin, had = [places], np.zeros(len(pairs), np.int64), np.cumsum(counts) - counts, counts.copy()
 
     def forget(at: np.ndarray) -> None:
         gone = pair_at[at]
@@ -98,7 +99,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray) -> dict[str, np.ndarray]:
         pair_at[at] = -1
 
     while chosen := disjoint_pairs(pairs, counts):
-        found = [where[k] for k in chosen]
+        found = [filed[r][b : b + m] for r, b, m in zip(rounds[chosen].tolist(), begin[chosen].tolist(), had[chosen].tolist())]
         new = np.repeat(np.arange(len(chosen)), [len(f) for f in found])
         at = np.concatenate(found)
         still = pair_at[at] == np.array(chosen)[new]
@@ -121,8 +122,9 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray) -> dict[str, np.ndarray]:
         more, often, places = _grouped(symbols[at], symbols[after[at]], at, made)
         if len(more):
             pair_at[places] = np.repeat(np.arange(len(pairs), len(pairs) + len(more)), often)
-            where += np.split(places, np.cumsum(often)[:-1])
-            pairs, counts = np.concatenate((pairs, more)), np.concatenate((counts, often))
+            rounds, begin = np.concatenate((rounds, np.full(len(more), len(filed)))), np.concatenate((begin, np.cumsum(often) - often))
+            filed.append(places)
+            pairs, counts, had = np.concatenate((pairs, more)), np.concatenate((counts, often)), np.concatenate((had, often))
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     ends = np.flatnonzero(after[:n][alive] == n) + 1
     return {
