@@ -7,18 +7,10 @@ split by adaptive execution, and each round is cut off by a reliable checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollweave-"))
-    return df.checkpoint(eager=True)
+from ..plans.session import checkpoint
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,9 +32,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     Edges with a null end and loops are ignored. Raises RuntimeError if ``max_rounds`` don't suffice.
     """
     now = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v").distinct()
-    now, state = _checkpoint(now), None
+    now, state = checkpoint(now), None
     for _ in range(max_rounds):
-        now = _checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(_large_star(now)))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from ..errors import RowIdentityError, need_columns, need_frame
 from ..functions import similarity as S
 from ..functions.text import collapse, strip
-from .components import _checkpoint, connected_components
+from ..plans.session import checkpoint
+from .components import connected_components
 
 # Names of the result's columns.
 RESULT = "Potential Duplicates"
@@ -26,7 +27,7 @@ def with_ordinal(df: DataFrame, name: str, order_by: list[str] | None = None) ->
     if order_by:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
-    rows = _checkpoint(df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    rows = checkpoint(df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = sizes.select("__part", "__first", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
     placed = rows.join(F.broadcast(before), "__part")
