@@ -1,7 +1,14 @@
-"""Exceptions. Problems of a schema or an argument are raised when a plan is built; problems of a value appear when it runs."""
+"""Exceptions. Problems of a schema or an argument are raised when a plan is built; problems of a value when it runs.
+
+What a running plan raises is an exception of Spark; inside ``typed_errors`` it comes out as the class of this module.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 
 class RollweaveError(Exception):
     """Base of all errors of this package."""
@@ -19,6 +26,26 @@ class PostcodeError(RollweaveError):
     """A postcode of the wrong form."""
 
 
+#: How plans begin the message of a bad value, and the class that stands for it.
+BAD_POSTCODE, FURTHER_EDUCATION = "not the form of a postcode: ", "a further-education level has no year group: "
+BAD_YEAR_GROUP, PAST_SCHOOL = "not a year group (R or 0-13): ", "not a school year: "
+_VALUE_ERRORS = {BAD_POSTCODE: PostcodeError, FURTHER_EDUCATION: FurtherEducationError, BAD_YEAR_GROUP: YearGroupError, PAST_SCHOOL: YearGroupError}
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Run actions in this block to catch PostcodeError, YearGroupError and FurtherEducationError by their classes."""
+    from pyspark.errors import PySparkException
+
+    try:
+        yield
+    except PySparkException as e:
+        for begin, kind in _VALUE_ERRORS.items():
+            if found := re.search(re.escape(begin) + ".*", str(e)):
+                raise kind(found[0]) from e
+        raise
+
+
 class MissingColumnError(RollweaveError):
     """A column that a table doesn't have."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import need_mode
+from ..errors import BAD_POSTCODE, need_mode
 from .text import SPACE, _col
 
 # Fixed value: outward code, a space, inward code.
@@ -29,6 +29,6 @@ def format_postcode(c: Column | str, errors: str = "raise") -> Column:
     spaced = F.concat(F.substring(bare, F.lit(1), n - 3), F.lit(" "), F.substring(bare, n - 2, F.lit(3)))
     good = n.between(5, 7) & spaced.rlike(PATTERN)
     if errors == "raise":
-        bad = F.raise_error(F.concat(F.lit("not the form of a postcode: "), c)).cast("string")
+        bad = F.raise_error(F.concat(F.lit(BAD_POSTCODE), c)).cast("string")
         return F.when(c.isNotNull(), F.when(good, spaced).otherwise(bad))
     return F.when(good, spaced).otherwise(c if errors == "ignore" else F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import need_mode
+from ..errors import BAD_YEAR_GROUP, FURTHER_EDUCATION, PAST_SCHOOL, need_mode
 from .text import _col, strip
 
 # What a reception year is called.
@@ -43,7 +43,7 @@ def _year_group(c: Column) -> tuple[Column, Column]:
 
 def _or_raise(value: Column, c: Column, level: Column, kind: str) -> Column:
     text = c.cast("string")
-    reason = F.when(level, F.concat(F.lit("a further-education level has no year group: "), text)).otherwise(F.concat(F.lit("not a year group (R or 0-13): "), text))
+    reason = F.when(level, F.concat(F.lit(FURTHER_EDUCATION), text)).otherwise(F.concat(F.lit(BAD_YEAR_GROUP), text))
     return F.when(value.isNotNull() | c.isNull(), value).otherwise(F.raise_error(reason).cast(kind))
 
 
@@ -71,7 +71,7 @@ def year_group_from_date(c: Column | str, start_year: int | None = None, errors:
     need_mode(errors, "raise", "ignore")
     c, start = _col(c), _start(start_year)
     n = F.lit(start) - F.year(c) - F.when(F.month(c) >= 9, F.lit(5)).otherwise(F.lit(4))
-    late = F.lit(None).cast("string") if errors == "ignore" else F.raise_error(F.concat(F.lit("not a school year: Year "), n.cast("string"))).cast("string")
+    late = F.lit(None).cast("string") if errors == "ignore" else F.raise_error(F.concat(F.lit(PAST_SCHOOL + "Year "), n.cast("string"))).cast("string")
     return F.when(n == 0, F.lit("Reception")).when(n < 0, F.lit(TOO_YOUNG)).when(n <= 13, F.concat(F.lit("Year "), n.cast("string"))).when(n > 13, late)
 
 
