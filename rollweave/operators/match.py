@@ -28,6 +28,10 @@ MATCH_TYPE = "Match Type"
 SCORE = "Fuzzy Score"
 
 
+#: Ids that a warning names; the rest are counted.
+NAMED_IDS = 20
+
+
 @dataclass(frozen=True)
 class Match:
     """Matched and remaining rows; unpacks like a pair."""
@@ -35,6 +39,7 @@ class Match:
     matched: DataFrame
     remaining: DataFrame
     _reused: DataFrame | None = field(default=None, repr=False)
+    _id: str | None = field(default=None, repr=False)
 
     def __iter__(self):
         return iter((self.matched, self.remaining))
@@ -44,12 +49,25 @@ class Match:
         return self._reused
 
     def warn(self) -> int:
-        """Log how many register rows are matched more than once, and return that; nothing is dropped."""
-        n = 0 if self._reused is None else self._reused.count()
+        """Log how many register rows are matched more than once, with their smallest ids, and return that; nothing is dropped."""
+        if self._reused is None:
+            return 0
+        name = f"`{self._id}`" if self._id in self._reused.columns else None
+        n = self._reused.count()
         if n:
-            logger.warning("%d register record(s) matched more than one row; check them before ids are given out", n)
+            told = ""
+            if name:
+                first = [r[0] for r in self._reused.select(F.col(name).cast("string").alias("id")).orderBy("id").limit(NAMED_IDS).collect()]
+                told = f" ({', '.join(map(str, first))}{', ...' if n > len(first) else ''})"
+            logger.warning("%d register record(s) matched more than one row%s; check them before ids are given out", n, told)
         return n
 
+    def counts(self) -> dict[str, int]:
+        """Numbers of matched and remaining rows, logged as well; two queries, run on demand."""
+        out = {"matched": self.matched.count(), "remaining": self.remaining.count()}
+        logger.info("%d row(s) matched, %d remain", out["matched"], out["remaining"])
+        return out
+
 
 def _comparable(a: T.DataType, b: T.DataType) -> bool:
     numbers = (T.NumericType,)
@@ -101,7 +119,7 @@ def exact_match(left: DataFrame, register: DataFrame, left_cols: list[str], regi
         matched = joined.select(*own, kind, the_id)
     remaining = left.join(slim, on, "left_anti")
     reused = joined.groupBy(F.col("__id").alias(id_col)).agg(F.count(F.lit(1)).alias("matches")).where("matches > 1")
-    return Match(matched, remaining, reused)
+    return Match(matched, remaining, reused, id_col)
 
 
 def _suffix_warning(left: DataFrame, prefix: str) -> None:
@@ -110,16 +128,18 @@ def _suffix_warning(left: DataFrame, prefix: str) -> None:
         logger.warning("left columns %s look like register columns and can't be told from them in the result", clash)
 
 
-def _best(left: DataFrame, register: DataFrame, left_keys: dict[str, Column], register_keys: dict[str, Column], within: Column | None, left_name: str, register_name: str, threshold: float, order_by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(left with its keys, best): the best register row of every distinct (left keys, sorted name)."""
+def _best(left: DataFrame, register: DataFrame, left_keys: dict[str, Column], register_keys: dict[str, Column], within: Column | None, left_name: str, register_name: str, threshold: float, order_by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(left with its keys; best: score and register keys of every distinct (left keys, sorted name); rows of the register keys).
+
+    Pairs and the choice among them carry keys and the order of the first register row, never rows of the register.
+    """
     keyed = left.withColumns({f"__l_{k}": c for k, c in left_keys.items()} | {"__l_name": S.sorted_tokens(F.col(f"`{left_name}`").cast("string"))})
     l_keys = [f"__l_{k}" for k in left_keys] + ["__l_name"]
-    row = F.struct(*(F.col(f"`{c}`") for c in register.columns))
     order = F.struct(*(F.col(f"`{c}`") for c in order_by), F.xxhash64(*(F.col(f"`{c}`") for c in register.columns)))
-    chosen = register.select(*(c.alias(f"__r_{k}") for k, c in register_keys.items()), S.sorted_tokens(F.col(f"`{register_name}`").cast("string")).alias("__r_name"), F.struct(order.alias("order"), row.alias("row")).alias("first"))
+    named = [c.alias(f"__r_{k}") for k, c in register_keys.items()] + [S.sorted_tokens(F.col(f"`{register_name}`").cast("string")).alias("__r_name")]
     r_keys = [f"__r_{k}" for k in register_keys] + ["__r_name"]
     # of register rows that would score the same, the first one stands for all
-    names = chosen.where(F.col("__r_name").isNotNull()).groupBy(*r_keys).agg(F.min("first").alias("__r_first")).withColumn("__r", S.prepared("__r_name"))
+    names = register.select(*named, order.alias("order")).where(F.col("__r_name").isNotNull()).groupBy(*r_keys).agg(F.min("order").alias("__r_order")).withColumn("__r", S.prepared("__r_name"))
     wanted = keyed.select(*l_keys).where(F.col("__l_name").isNotNull()).distinct().withColumn("__l", S.prepared("__l_name"))
     l, r = F.col("__l"), F.col("__r")
     on = S.may_reach(l, r, threshold)
@@ -129,26 +149,35 @@ def _best(left: DataFrame, register: DataFrame, left_keys: dict[str, Column], re
     if within is not None:
         on = on & within
     scored = S.with_common(wanted.join(names, on), l, r, "__lcs").where(S.reaches(F.col("__lcs"), l, r, threshold))
-    rank = F.struct((-S.similarity(F.col("__lcs"), l, r)).alias("score"), F.col("__r_first.order").alias("order"), F.col("__r_first.row").alias("row"))
-    return keyed, scored.groupBy(*l_keys).agg(F.min(rank).alias("__best"))
+    rank = F.struct((-S.similarity(F.col("__lcs"), l, r)).alias("score"), F.col("__r_order").alias("order"), *r_keys)
+    best = scored.groupBy(*l_keys).agg(F.min(rank).alias("__best")).select(*l_keys, F.col("__best.score").alias("__score"), *(F.col(f"__best.{k}").alias(k) for k in r_keys))
+    row = F.struct(*(F.col(f"`{c}`") for c in register.columns))
+    rows = register.select(*named, F.struct(order.alias("order"), row.alias("row")).alias("first")).where(F.col("__r_name").isNotNull()).groupBy(*r_keys).agg(F.min("first").alias("__first"))
+    return keyed, best, rows
 
 
-def _finish(left: DataFrame, register: DataFrame, keyed: DataFrame, best: DataFrame, description: str, prefix: str, order_by: list[str]) -> Match:
-    keys = [c for c in best.columns if c != "__best"]
-    found = keyed.join(best, keys)
+def _finish(left: DataFrame, register: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame], description: str, prefix: str, id_col: str | None, ordered: bool) -> Match:
+    keyed, best, rows = found
+    l_keys, r_keys = [c for c in best.columns if c.startswith("__l_")], [c for c in best.columns if c.startswith("__r_")]
+    chosen = best.join(rows, r_keys).select(*l_keys, "__score", "__first")
+    full = keyed.join(chosen, l_keys)
     out = [F.col(f"`{c}`") for c in left.columns]
-    out += [F.col(f"__best.row.`{c}`").alias(prefix + c) for c in register.columns]
-    out += [F.bround(-F.col("__best.score"), 2).alias(SCORE), F.lit(description).alias(MATCH_TYPE)]
-    matched = found.select(*out).orderBy(F.desc(SCORE))
-    remaining = keyed.join(best.select(*keys), keys, "left_anti").select(*(F.col(f"`{c}`") for c in left.columns))
-    reused = found.groupBy(F.col("__best.row").alias("record"), F.col("__best.order").alias("__o")).agg(F.count(F.lit(1)).alias("matches")).where("matches > 1").select("record.*", "matches")
-    return Match(matched, remaining, reused)
-
-
-def fuzzy_match(left: DataFrame, register: DataFrame, left_filter_cols: list[str], register_filter_cols: list[str], left_name: str, register_name: str, description: str, threshold: float = 80, id_col: str | None = None, order_by: list[str] | None = None, prefix: str = PREFIX) -> Match:
+    out += [F.col(f"__first.row.`{c}`").alias(prefix + c) for c in register.columns]
+    out += [F.bround(-F.col("__score"), 2).alias(SCORE), F.lit(description).alias(MATCH_TYPE)]
+    matched = full.select(*out)
+    if ordered:
+        matched = matched.orderBy(F.desc(SCORE))
+    remaining = keyed.join(best.select(*l_keys), l_keys, "left_anti").select(*(F.col(f"`{c}`") for c in left.columns))
+    # rows of one key share their register row, so keys with their numbers of left rows are enough
+    times = keyed.join(best, l_keys).groupBy(*r_keys).agg(F.count(F.lit(1)).alias("matches")).where("matches > 1")
+    reused = times.join(rows, r_keys).select("__first.row.*", "matches")
+    return Match(matched, remaining, reused, id_col)
+
+
+def fuzzy_match(left: DataFrame, register: DataFrame, left_filter_cols: list[str], register_filter_cols: list[str], left_name: str, register_name: str, description: str, threshold: float = 80, id_col: str | None = None, order_by: list[str] | None = None, prefix: str = PREFIX, ordered: bool = False) -> Match:
     """Inside blocks of equal filter columns, the register row with the most similar name, if it scores ``threshold`` or more.
 
-    Null filters or names match nothing. Matched rows come by descending score.
+    Null filters or names match nothing. ``ordered``: matched rows come by descending score, at the price of a global sort.
     """
     need_frame(left, "left")
     need_frame(register, "register")
@@ -159,8 +188,8 @@ def fuzzy_match(left: DataFrame, register: DataFrame, left_filter_cols: list[str
     order = order_by or ([id_col] if id_col else [])
     lk = {f"f{i}": F.col(f"`{c}`") for i, c in enumerate(left_filter_cols)}
     rk = {f"f{i}": F.col(f"`{c}`") for i, c in enumerate(register_filter_cols)}
-    keyed, best = _best(left, register, lk, rk, None, left_name, register_name, threshold, order)
-    return _finish(left, register, keyed, best, description, prefix, order)
+    found = _best(left, register, lk, rk, None, left_name, register_name, threshold, order)
+    return _finish(left, register, found, description, prefix, id_col, ordered)
 
 
 def tidy_school(c: Column) -> Column:
@@ -168,11 +197,11 @@ def tidy_school(c: Column) -> Column:
     return collapse(strip(title(c.cast("string"))))
 
 
-def school_age_match(left: DataFrame, register: DataFrame, left_school: str, register_school: str, left_name: str, register_name: str, left_year_group: str, register_dob: str, description: str, id_col: str = ID_COLUMN, academic_year_start: int | None = None, threshold: float = 80, order_by: list[str] | None = None, prefix: str = PREFIX) -> Match:
+def school_age_match(left: DataFrame, register: DataFrame, left_school: str, register_school: str, left_name: str, register_name: str, left_year_group: str, register_dob: str, description: str, id_col: str = ID_COLUMN, academic_year_start: int | None = None, threshold: float = 80, order_by: list[str] | None = None, prefix: str = PREFIX, ordered: bool = False) -> Match:
     """Fuzzy match between pupils of one school whose date of birth lies in the year group's range.
 
     Rows with a year group that can't be understood, or without a school, stay unmatched. Schools are compared tidied and
-    returned as they were.
+    returned as they were. ``ordered``: as in ``fuzzy_match``.
     """
     need_frame(left, "left")
     need_frame(register, "register")
@@ -188,8 +217,8 @@ def school_age_match(left: DataFrame, register: DataFrame, left_school: str, reg
     rk = {"school": tidy_school(F.col(f"`{register_school}`")), "dob": F.to_date(dob)}
     within = F.col("__r_dob").between(F.col("__l_from"), F.col("__l_to"))
     order = order_by or [id_col]
-    keyed, best = _best(left, register, lk, rk, within, left_name, register_name, threshold, order)
-    return _finish(left, register, keyed, best, description, prefix, order)
+    found = _best(left, register, lk, rk, within, left_name, register_name, threshold, order)
+    return _finish(left, register, found, description, prefix, id_col, ordered)
 
 
 def waterfall(*matches: Match) -> DataFrame:
