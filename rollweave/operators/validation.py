@@ -1,13 +1,18 @@
 """Row validation against a declared model, with a report for each row.
 
-Pydantic v2 is loaded only when it is used and runs once per Arrow batch and row. Input columns keep their raw types, since one Spark
-column has one type whether a row is valid or not; timestamps come back as dates.
+Pydantic v2 is loaded only when it is used and runs once per Arrow batch and row. One Spark column has one type whether a row is valid or
+not, so there are two forms of the result: input columns keep their raw types, or (``in_place``) those that the model declares get the
+model's types, with coerced values and defaults in valid rows. Timestamps come back as dates.
 """
 
 from __future__ import annotations
 
+import json
+import types
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import date, datetime
+from decimal import Decimal
+from typing import Annotated, Any, Literal, Union, get_args, get_origin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,17 +58,85 @@ def _told(errors: list[dict]) -> str:
     return "; ".join(f"'{e['loc'][-1] if e.get('loc') else 'Model Error'}': {e.get('msg')}" for e in errors)
 
 
-def error_report(df: DataFrame, model: type, name: str = "table", cleaned: T.StructType | None = None) -> DataFrame:
+_TYPES = {str: T.StringType(), bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), date: T.DateType(), datetime: T.DateType(), Decimal: T.DecimalType(38, 18)}
+RAW = "val_raw_values"
+
+
+def spark_type(annotation: Any) -> T.DataType | None:
+    """Spark type of a field's annotation, without regard to None and constraints; None if there is no single one."""
+    if get_origin(annotation) is Annotated:
+        return spark_type(get_args(annotation)[0])
+    if get_origin(annotation) is Literal:
+        kinds = {type(v) for v in get_args(annotation) if v is not None}
+    elif get_origin(annotation) in (Union, types.UnionType):
+        return spark_type(inner[0]) if len(inner := [a for a in get_args(annotation) if a is not type(None)]) == 1 else None
+    else:
+        kinds = {annotation}
+    return _TYPES.get(kinds.pop()) if len(kinds) == 1 else None
+
+
+def _as_date(v):
+    return v.date() if isinstance(v, datetime) else v
+
+
+def _in_place(df: DataFrame, model: type, report: list[T.StructField]) -> DataFrame:
+    """The report with the model's types: see ``error_report``."""
+    declared = {n: t for n, f in model.model_fields.items() if (t := spark_type(f.annotation)) is not None}
+    taken = (COUNT, DETAILS, STATUS, RAW)
+    dated = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
+    own = [T.StructField(f.name, declared.get(f.name, T.DateType() if f.name in dated else f.dataType)) for f in df.schema.fields if f.name not in taken]
+    more = [T.StructField(n, t) for n, t in declared.items() if n not in df.columns]
+    fields = [*own, *more]
+    schema = T.StructType([*fields, *report, T.StructField(RAW, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pydantic import TypeAdapter, ValidationError
+
+        singles = {n: TypeAdapter(model.model_fields[n].annotation) for n in declared}
+
+        def alone(n: str, v):
+            """A value of an invalid row as its field's type, or None if it isn't one."""
+            if n not in singles or v is None:
+                return v
+            try:
+                return singles[n].validate_python(v)
+            except ValidationError:
+                return None
+
+        for batch in batches:
+            rows = []
+            for values in zip(*([_plain(v) for v in batch[c]] for c in batch.columns)):
+                row = dict(zip(batch.columns, values))
+                try:
+                    made = row | model.model_validate(row).model_dump() | {COUNT: 0, DETAILS: None, STATUS: "Valid", RAW: None}
+                except ValidationError as e:
+                    told = e.errors()
+                    made = {n: alone(n, v) for n, v in row.items()} | {COUNT: len(told), DETAILS: _told(told), STATUS: "Invalid", RAW: json.dumps(row, default=str)}
+                rows.append([_as_date(made.get(f.name)) for f in schema.fields])
+            out = pd.DataFrame(rows, columns=schema.names, dtype=object)
+            whole = [f.name for f in schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))]
+            yield out.astype({n: "Int64" for n in whole} | {COUNT: "Int32"})
+
+    return df.select(*(F.col(f"`{f.name}`") for f in own)).mapInPandas(run, schema)
+
+
+def error_report(df: DataFrame, model: type, name: str = "table", cleaned: T.StructType | None = None, in_place: bool = False) -> DataFrame:
     """``df`` with val_error_count, val_error_details (null if valid) and validation_status (Valid or Invalid).
 
     ``cleaned``: fields of the model to return as a struct of that name, coerced and with defaults, null for invalid rows.
-    An empty table gives an empty report.
+    ``in_place`` (Pydantic models): columns that the model declares have its types. Valid rows hold coerced values and defaults, also of fields
+    that the table lacks; invalid rows hold what is right by itself and null elsewhere, and all their raw values as JSON in
+    ``val_raw_values``. An empty table gives an empty report.
     """
     need_frame(df, "df")
     _check_model(model)
     find_package(df.sparkSession)
     logger.info("validation of %s against %s", name, model.__name__)
     report = [T.StructField(COUNT, T.IntegerType()), T.StructField(DETAILS, T.StringType()), T.StructField(STATUS, T.StringType())]
+    if in_place:
+        if not _is_model(model):
+            raise TypeError(f"{model.__name__} declares no types; in_place needs a Pydantic model")
+        return _in_place(df, model, report)
     raw = T.StructType([f for f in df.schema.fields if f.name not in (COUNT, DETAILS, STATUS)])
     schema = T.StructType([*raw.fields, *report, *([T.StructField("cleaned", cleaned)] if cleaned else [])])
 
