@@ -68,13 +68,13 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, a, t ORDER
 """
 
 
-def _duplicates(threshold: int, strict: bool, twins: bool) -> str:
+def _duplicates(threshold: int, strict: bool, twins: bool, name: str = "p_name", told: str = "CAST(p_partkey AS VARCHAR)", more: str = "") -> str:
     block = "p_size, p_brand" if strict else "p_size"
     same = " AND ".join(f"u.{c} = v.{c}" for c in block.split(", "))
     first_u, first_v = "split_part(u.p_name, ' ', 1)", "split_part(v.p_name, ' ', 1)"
     twin = f"AND 200 * {_lcs(first_u, first_v)} >= 70 * (length({first_u}) + length({first_v}))" if twins else ""
     return f"""
-WITH RECURSIVE n AS (SELECT {block}, p_name, {_tokens("p_name")} AS t, min(p_partkey) AS node FROM part GROUP BY {block}, p_name),
+WITH RECURSIVE n AS (SELECT {block}, p_name, {_tokens(name)} AS t, min(p_partkey) AS node FROM part GROUP BY {block}, p_name),
 links AS (
   SELECT u.node AS a, v.node AS b FROM n u JOIN n v ON {same} AND u.node < v.node
   WHERE 200 * {_lcs("u.t", "v.t")} >= {threshold} * (length(u.t) + length(v.t)) {twin}
@@ -82,10 +82,11 @@ links AS (
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 cluster AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+ids AS (SELECT p_partkey, {told} AS id FROM part),
 members AS (SELECT p.p_partkey, c FROM part p JOIN n ON {" AND ".join(f"p.{x} = n.{x}" for x in block.split(", "))} AND p.p_name = n.p_name JOIN cluster USING (node)),
-told AS (SELECT c, string_agg(CAST(p_partkey AS VARCHAR), ', ' ORDER BY CAST(p_partkey AS VARCHAR)) AS ids, count(*) AS k FROM members GROUP BY c)
-SELECT p.p_partkey, p.p_name, p.p_size, p.p_brand, CASE WHEN k > 1 THEN ids END AS "Potential Duplicates"
-FROM part p JOIN members USING (p_partkey) JOIN told USING (c)
+told AS (SELECT c, string_agg(id, ', ' ORDER BY id) AS ids, count(*) AS k FROM members JOIN ids USING (p_partkey) GROUP BY c)
+SELECT p.p_partkey, p.p_name, p.p_size, p.p_brand{more}, CASE WHEN k > 1 THEN told.ids END AS "Potential Duplicates"
+FROM part p JOIN members USING (p_partkey) JOIN told USING (c) JOIN ids USING (p_partkey)
 """
 
 
@@ -107,6 +108,16 @@ ORACLES: dict[str, str] = {
     "find_numbers": "SELECT doc_id, regexp_matches(text, '[0-9]') AS has_numbers, regexp_matches(CAST(n_chars AS VARCHAR), '[0-9]') AS count_has FROM documents",
     "remove_numbers": f"SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN {_strip("regexp_replace(text, '[0-9]+', '', 'g')")} ELSE text END AS text FROM documents",
     "full_name": "SELECT p_partkey, p_brand || CASE WHEN p_size > 25 THEN ' ' || p_name ELSE '' END || ' ' || p_type AS name FROM part",
+    "full_name_missing": "SELECT p_partkey, nullif(concat_ws(' ', CASE WHEN p_size % 3 = 2 THEN p_brand END, CASE WHEN p_size % 5 <> 0 THEN p_name END), '') AS name FROM part",
+    "reverse_timestamp": """
+SELECT o_orderkey, strftime(CASE WHEN day(t) <= 12 THEN make_timestamp(year(t), day(t), month(t), 3, 4, 5) ELSE t END, '%Y-%m-%d %H:%M:%S') AS reversed
+FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '03:04:05' AS t FROM orders)""",
+    "raise_modes": f"""
+SELECT p_partkey, 'SW' || left(CAST(p_size AS VARCHAR), 1) || 'A 1AB' AS postcode, 'Year ' || p_size AS year_group, CAST(p_size AS BIGINT) AS number,
+  make_date({START_YEAR} - p_size - 4, 8, 31)::VARCHAR AS last_day FROM part WHERE p_size BETWEEN 1 AND 13""",
+    "further_education": """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'Year 2' ELSE 'Reception' END AS year_group,
+  CASE WHEN p_size % 2 = 0 THEN 'FE Level ' || p_size WHEN p_size % 3 = 0 THEN 'Year 2' ELSE 'Reception' END AS kept FROM part""",
     "remove_diacritics": "SELECT doc_id, strip_accents(text) AS text FROM documents",
     "remove_punctuation": f"SELECT doc_id, {_strip(_collapse(f"translate({_strip('text')}, '{_MARKS}', '{' ' * len(PUNCTUATION)}')"))} AS text FROM documents",
     "format_postcode": f"SELECT c_custkey, CASE WHEN {_GOOD} THEN {_SPACED} END AS postcode, CASE WHEN {_GOOD} THEN {_SPACED} ELSE p END AS kept FROM (SELECT c_custkey, {_POSTCODE} AS p FROM customer)",
@@ -160,6 +171,7 @@ WHERE l.row_key NOT IN (SELECT row_key FROM exact)""",
     "dedupe_permissive": _duplicates(90, False, True),
     "dedupe_strict": _duplicates(75, True, True),
     "dedupe_twins_off": _duplicates(75, True, False),
+    "dedupe_own_ids": _duplicates(85, True, False, "p_brand || ' ' || p_name", "'#' || row_number() OVER (ORDER BY p_partkey)", ', ids.id AS "Duplicate ID"'),
     "exact_dupe_groups": "SELECT p_partkey, p_name, p_size, p_brand, count(*) OVER (PARTITION BY p_name, p_size) AS group_size FROM part",
     "get_updates": f"WITH {_ORDERS} SELECT o_orderkey, CASE WHEN a IS DISTINCT FROM b AND trim(a) <> '' THEN a END AS update FROM o",
     "contextual_updates": f"WITH {_ORDERS} SELECT o_orderkey, CASE WHEN a IS DISTINCT FROM b AND trim(a) <> '' AND a NOT IN ('1-URGENT', '2-HIGH') THEN a END AS update FROM o",
@@ -170,5 +182,8 @@ WITH {_ORDERS} SELECT o_orderkey, CASE WHEN a IS DISTINCT FROM b AND trim(a) <>
 WITH {_ERRORS} SELECT event_id, CAST(small AS BIGINT) + CAST(cheap AS BIGINT) AS n_errors,
   CASE WHEN small AND cheap THEN '''value'': too small; ''Model Error'': cheap purchase' WHEN small THEN '''value'': too small' WHEN cheap THEN '''Model Error'': cheap purchase' END AS details,
   CASE WHEN small OR cheap THEN 'Invalid' ELSE 'Valid' END AS status FROM e""",
+    "error_report_dates": """
+SELECT event_id, CAST(ts AS DATE)::VARCHAR AS day, CAST(v IS NULL OR v < 1 AS BIGINT) + CAST(coalesce(event_type = 'purchase', false) AND (v IS NULL OR v < 50) AS BIGINT) AS n_errors
+FROM (SELECT event_id, ts, event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)""",
     "error_report_counts": f"WITH {_ERRORS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE small OR cheap) AS n_invalid, CAST(coalesce(sum(CAST(small AS BIGINT) + CAST(cheap AS BIGINT)), 0) AS BIGINT) AS n_errors FROM e",
 }

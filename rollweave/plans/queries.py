@@ -43,6 +43,11 @@ def q_full_name(spark, d):
     return table(spark, d, "part").select("p_partkey", full_name(F.concat(F.lit(" "), F.col("p_brand")), "p_type", F.when(F.col("p_size") > 25, F.col("p_name"))).alias("name"))
 
 
+def q_full_name_missing(spark, d):
+    first = F.when(F.col("p_size") % 3 == 0, F.lit(" NaN")).when(F.col("p_size") % 3 == 2, F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", full_name(first, F.when(F.col("p_size") % 5 == 0, F.lit("  ")).otherwise(F.col("p_name"))).alias("name"))
+
+
 def q_remove_diacritics(spark, d):
     return table(spark, d, "documents").select("doc_id", remove_diacritics("text").alias("text"))
 
@@ -81,6 +86,26 @@ def q_dob_range(spark, d):
     return table(spark, d, "part").select("p_partkey", ages["first"].cast("string").alias("first_day"), ages["last"].cast("string").alias("last_day"))
 
 
+def q_reverse_timestamp(spark, d):
+    at = F.col("o_orderdate") + F.expr("INTERVAL '03:04:05' HOUR TO SECOND")
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(reverse_date(at, timestamp=True), "yyyy-MM-dd HH:mm:ss").alias("reversed"))
+
+
+def q_raise_modes(spark, d):
+    """Modes that raise, over values that are all right."""
+    size = F.col("p_size").cast("string")
+    code = F.concat(F.lit(" sw"), F.substring(size, 1, 1), F.lit("a 1a b"))
+    return table(spark, d, "part").where("p_size BETWEEN 1 AND 13").select(
+        "p_partkey", format_postcode(code).alias("postcode"), clean_year_group("p_size").alias("year_group"),
+        parse_year_group(F.concat(F.lit("yr "), size)).cast("long").alias("number"), dob_range("p_size", START_YEAR)["last"].cast("string").alias("last_day"),
+    )
+
+
+def q_further_education(spark, d):
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("FE Level "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("Rec"), F.when(F.col("p_size") % 3 == 0, F.lit(" 2")).otherwise(F.lit(""))))
+    return table(spark, d, "part").select("p_partkey", clean_year_group(text, errors="coerce").alias("year_group"), clean_year_group(text, errors="ignore").alias("kept"))
+
+
 def q_snake_case_columns(spark, d):
     t = table(spark, d, "nation")
     return snake_case_columns(t.select(F.col("n_nationkey").alias("Nation Key (#)"), F.col("n_name").alias("NationName")))
@@ -189,6 +214,12 @@ def q_dedupe_twins_off(spark, d):
     return _duplicates(spark, d, threshold=75, fuzzy_type="strict", twin_protection=False)
 
 
+def q_dedupe_own_ids(spark, d):
+    """A name of two columns, and ids that are made up in the order of the key."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    return find_duplicates(part, ["p_brand", "p_name"], "p_size", "p_brand", threshold=85, fuzzy_type="strict", order_by=["p_partkey"], ordered=True)
+
+
 def q_exact_dupe_groups(spark, d):
     return exact_groups(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand"), ["p_name", "p_size"])
 
@@ -252,6 +283,15 @@ def q_error_report(spark, d):
     return error_report(events, EventRow, "events").select("event_id", F.col("val_error_count").cast("long").alias("n_errors"), F.col("val_error_details").alias("details"), F.col("validation_status").alias("status"))
 
 
+def q_error_report_dates(spark, d):
+    """Missing numbers reach the model as None, times come back as dates."""
+    from ..operators.validation import error_report
+
+    value = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    events = table(spark, d, "events").select("event_id", "event_type", value.alias("value"), "ts")
+    return error_report(events, EventRow, "events").select("event_id", F.col("ts").cast("string").alias("day"), F.col("val_error_count").cast("long").alias("n_errors"))
+
+
 def q_error_report_counts(spark, d):
     from ..operators.validation import error_report, report_counts
 

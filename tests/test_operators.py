@@ -1,11 +1,14 @@
+import datetime as dt
 import io
 import logging
 
+import pydantic
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import rollweave as R
+from rollweave.log import get_logger
 from rollweave.operators.components import connected_components
 from rollweave.operators.validation import error_report, report_counts
 from rollweave.plans.queries import EventRow
@@ -84,7 +87,11 @@ def test_fuzzy_nulls_repeats_and_reuse(spark):
     assert m.remaining.count() == 2 and rows(m.reused(), ID, "matches") == [("H1", 3)]
     out = io.StringIO()
     R.enable_logging("WARNING", stream=out)
-    assert m.warn() == 1 and "1 register record" in out.getvalue()
+    assert m.warn() == 1 and "1 register record" in out.getvalue() and "(H1)" in out.getvalue()
+    R.enable_logging("INFO", stream=out)
+    assert m.counts() == {"matched": 3, "remaining": 2} and "3 row(s) matched, 2 remain" in out.getvalue()
+    none = R.exact_match(left, register.limit(0), ["n"], ["n"], "x")
+    assert none.warn() == 0
 
 
 def test_school_age(spark):
@@ -127,7 +134,10 @@ def test_duplicates_columns_and_guards(spark):
     df = spark.createDataFrame([("B2", "Jane", "Doe", "1", "a", 5), ("A1", "Janie", "Doe", "1", "b", 6), ("C", None, "Doe", "3", "b", 7)], "id string, first string, last string, dob string, pc string, extra int")
     out = R.find_duplicates(df, ["first", "last"], "dob", "pc", id_col="id")
     assert out.columns == [*df.columns, "Potential Duplicates"]
-    assert [tuple(r) for r in out.select("id", "Potential Duplicates").collect()] == [("B2", "A1, B2"), ("A1", "A1, B2"), ("C", None)]
+    assert rows(out, "id", "Potential Duplicates") == [("A1", "A1, B2"), ("B2", "A1, B2"), ("C", None)]
+    in_order = R.find_duplicates(df, ["first", "last"], "dob", "pc", id_col="id", ordered=True)
+    assert [tuple(r) for r in in_order.select("id", "Potential Duplicates").collect()] == [("B2", "A1, B2"), ("A1", "A1, B2"), ("C", None)]
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     for bad, error in (({"threshold": 101}, ValueError), ({"fuzzy_type": "odd"}, ValueError), ({"id_col": "nope"}, R.MissingColumnError)):
         with pytest.raises(error):
             R.find_duplicates(df, "first", "dob", "pc", **bad)
@@ -200,6 +210,28 @@ def test_validation(spark):
         error_report(df, dict)
 
 
+def test_validation_with_pydantic(spark):
+    # made here, so that workers get the class itself and need not import this file
+    Person = pydantic.create_model("Person", name=(str, ...), age=(int, ...), score=(float | None, 0.5), created_at=(dt.date | None, None))
+    when = dt.datetime(2024, 5, 6, 7, 8)
+    df = spark.createDataFrame([("Ann", "25", when, 1), ("Bob", "old", when, 2), (None, "7", None, 3)], "name string, age string, created_at timestamp, extra int")
+    out = error_report(df, Person).orderBy("extra").collect()
+    # a time of day is no date for the model, but every timestamp comes back as a date
+    assert [r.val_error_count for r in out] == [1, 2, 1] and out[0].created_at == dt.date(2024, 5, 6)
+    df = df.withColumn("created_at", F.col("created_at").cast("date"))
+    raw = error_report(df, Person).orderBy("extra").collect()
+    assert [(r.age, r.val_error_count, r.validation_status) for r in raw] == [("25", 0, "Valid"), ("old", 1, "Invalid"), ("7", 1, "Invalid")]
+    assert raw[1].val_error_details.startswith("'age': ") and raw[2].val_error_details.startswith("'name': ")
+    placed = error_report(df, Person, in_place=True)
+    assert dict(placed.dtypes) == {"name": "string", "age": "bigint", "created_at": "date", "extra": "int", "score": "double", "val_error_count": "int", "val_error_details": "string", "validation_status": "string", "val_raw_values": "string"}
+    rows_ = placed.orderBy("extra").collect()
+    assert [(r.name, r.age, r.created_at, r.extra, r.score) for r in rows_] == [("Ann", 25, when.date(), 1, 0.5), ("Bob", None, when.date(), 2, None), (None, 7, None, 3, None)]
+    assert '"age": "old"' in rows_[1].val_raw_values and rows_[0].val_raw_values is None
+    assert error_report(df.limit(0), Person, in_place=True).count() == 0
+    with pytest.raises(TypeError):
+        error_report(df, EventRow, in_place=True)
+
+
 def test_files(spark, tmp_path):
     for n in ("b.XLSX", "a.xls", "c.csv"):
         (tmp_path / n).write_text("k,v\n1,2\n")
@@ -216,14 +248,66 @@ def test_files(spark, tmp_path):
 
 
 def test_logging():
-    out = io.StringIO()
-    logger = R.enable_logging("info", stream=out)
-    R.enable_logging("INFO", stream=out)
+    first, out = io.StringIO(), io.StringIO()
+    R.enable_logging("debug", stream=first)
+    logger = R.enable_logging("INFO", stream=out)
     logger.info("once")
-    assert out.getvalue().count("once") == 1
+    logger.debug("never")
+    get_logger("own").warning("below")
+    assert first.getvalue() == "" and out.getvalue() == "INFO rollweave: once\nWARNING rollweave.own: below\n"
+    assert len(logger.handlers) == 1 and not logger.propagate
+    other = logging.NullHandler()
+    logger.addHandler(other)
     with pytest.raises(ValueError):
         R.enable_logging("LOUD")
-    assert R.disable_logging().propagate and logging.getLogger("rollweave").level == logging.NOTSET
+    R.enable_logging(logging.ERROR, fmt="%(message)s!", stream=out)
+    logger.error("short")
+    assert out.getvalue().endswith("below\nshort!\n")
+    assert R.disable_logging().propagate and logger.level == logging.NOTSET and logger.handlers == [other]
+    logger.removeHandler(other)
+
+
+def test_counts_cost_no_job(spark):
+    out = io.StringIO()
+    df = spark.createDataFrame([("JANE",), ("Bob",), (None,), ("x",)], "name string")
+    done, counts = R.cleaned(df, "name", R.format_postcode, errors="coerce")
+    assert done.columns == ["name"] and [r[0] for r in done.collect()] == [None] * 4
+    assert counts.get() == {"rows": 4, "changed": 3, "made_null": 3, "null_before": 1}
+    R.enable_logging("WARNING", stream=out)
+    counts.log()
+    assert out.getvalue() == ""
+    R.enable_logging("INFO", stream=out)
+    counts.log()
+    assert out.getvalue() == "INFO rollweave: format_postcode of 'name' over 4 rows; changed 3; made null 3; null before 1\n"
+
+
+def test_typed_errors(spark):
+    for value, by, kind in (("123", R.format_postcode, R.PostcodeError), ("FE Level 3", R.clean_year_group, R.FurtherEducationError), ("what", R.parse_year_group, R.YearGroupError)):
+        with pytest.raises(kind, match=value), R.typed_errors():
+            spark.createDataFrame([(value,)], "x string").select(by("x")).collect()
+    with pytest.raises(R.YearGroupError), R.typed_errors():
+        spark.createDataFrame([(dt.date(1990, 1, 1),)], "x date").select(R.year_group_from_date("x", 2025)).collect()
+    with pytest.raises(ZeroDivisionError), R.typed_errors():
+        1 / 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from rollweave.plans import session
+
+    class Context:
+        applicationId, master = "a", "spark://host"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+    Context.master = "local[2]"
+    assert session.shared_folder(Session) == session.shared_folder(Session) != ""
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert session.shared_folder(Session) == "hdfs://x/y"
 
 
 def test_validation_is_lazy():
