@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..log import get_logger
+from .excel import read_xlsx
 
 logger = get_logger(__name__)
 _ENDINGS = (".xlsx", ".xls")
@@ -34,13 +35,20 @@ def remote_excel_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(fs_path) if s.isFile() and s.getPath().getName().lower().endswith(_ENDINGS))
 
 
-def read_excel(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Excel files as one table of strings; needs an Excel engine of pandas on the driver (files are small registers)."""
-    import pandas as pd
+def read_excel(spark: SparkSession, paths: list[str] | str, sheet: str | int = 0) -> DataFrame:
+    """A sheet of Excel files as one table of strings; files may differ in their columns.
 
+    ``.xlsx`` files are read by the executors. The old binary ``.xls`` needs an Excel engine of pandas, and is read on the driver.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no files to read")
-    frames = [spark.createDataFrame(pd.read_excel(p, dtype=str, **options)) for p in paths]
+    new, old = [p for p in paths if not p.lower().endswith(".xls")], [p for p in paths if p.lower().endswith(".xls")]
+    frames = [read_xlsx(spark, new, sheet)] if new else []
+    if old:
+        import pandas as pd
+
+        frames += [spark.createDataFrame(pd.read_excel(p, sheet_name=sheet, dtype=str)) for p in old]
     return union_all(frames)
 
 

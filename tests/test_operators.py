@@ -247,6 +247,48 @@ def test_files(spark, tmp_path):
     assert both.columns == ["k", "v", "w"] and rows(both, "k", "v", "w") == [("1", "2", None), ("3", None, "4")]
 
 
+def workbook(path, rows, shared=(), formats="", styles="", sheet="Data"):
+    """A workbook in the form that spreadsheet programs write; ``rows``: XML of the sheet's rows."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Other" r:id="rId2"/><sheet name="{sheet}" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/a.xml"/><Relationship Id="rId2" Target="/xl/worksheets/b.xml"/></Relationships>',
+        "xl/worksheets/a.xml": f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>",
+        "xl/worksheets/b.xml": f"<worksheet {main}><sheetData/></worksheet>",
+        "xl/sharedStrings.xml": f"<sst {main}>{''.join(shared)}</sst>",
+        "xl/styles.xml": f"<styleSheet {main}><numFmts>{formats}</numFmts><cellXfs>{styles}</cellXfs></styleSheet>",
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+
+
+def test_excel(spark, tmp_path):
+    shared = ["<si><t>Name</t></si>", "<si><r><t>Ja</t></r><r><t>ne</t></r><rPh><t>no</t></rPh></si>", "<si><t>Born</t></si>"]
+    formats, styles = '<numFmt numFmtId="164" formatCode="dd/mm/yyyy"/><numFmt numFmtId="165" formatCode="0.0&quot; days&quot;"/>', "".join(f'<xf numFmtId="{n}"/>' for n in (0, 164, 14, 165))
+    head = '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>2</v></c><c r="D2" t="inlineStr"><is><t>N &amp; M</t></is></c></row>'
+    body = '<row><c r="A3" t="s"><v>1</v></c><c r="B3" s="1"><v>43831</v></c><c r="D3"><v>2.5</v></c></row><row r="4"/><row><c r="A5" t="b"><v>1</v></c><c r="B5" s="2"><v>43831.5</v></c><c r="C5" s="3"><v>7</v></c></row>'
+    workbook(tmp_path / "a.xlsx", '<row r="1"/>' + head + body + '<row><c t="str"><v>f</v></c><c t="e"><v>#N/A</v></c></row>', shared, formats, styles)
+    workbook(tmp_path / "b.XLSX", '<row><c t="inlineStr"><is><t>Born</t></is></c><c t="inlineStr"><is><t>Extra</t></is></c></row>' + "".join(f"<row><c><v>{i}</v></c></row>" for i in range(2500)))
+    one = R.read_excel(spark, str(tmp_path / "a.xlsx"), sheet="Data")
+    assert one.columns == ["Name", "Born", "Unnamed: 2", "N & M"]
+    assert [tuple(r) for r in one.collect()] == [("Jane", "2020-01-01 00:00:00", None, "2.5"), ("True", "2020-01-01 12:00:00", "7", None), ("f", None, None, None)]
+    both = R.read_excel(spark, R.excel_files(str(tmp_path)), sheet=1)
+    assert both.columns == ["Name", "Born", "Unnamed: 2", "N & M", "Extra"] and both.count() == 2503
+    assert both.where("Born = '2499' AND Name IS NULL").count() == 1
+    with pytest.raises(Exception, match="no sheet 'x'"):
+        R.read_excel(spark, str(tmp_path / "a.xlsx"), sheet="x")
+    with pytest.raises(ValueError):
+        R.read_excel(spark, [])
+    workbook(tmp_path / "c.xlsx", "<row>" + '<c t="inlineStr"><is><t>A</t></is></c>' * 2 + "</row>")
+    with pytest.raises(R.ColumnClashError):
+        R.read_excel(spark, str(tmp_path / "c.xlsx"), sheet="Data")
+    empty = R.read_excel(spark, str(tmp_path / "c.xlsx"), sheet="Other")
+    assert empty.columns == [] or empty.count() == 0
+
+
 def test_logging():
     first, out = io.StringIO(), io.StringIO()
     R.enable_logging("debug", stream=first)
