@@ -2,10 +2,10 @@
 
 Texts are equal when they are identical after every white-space character of ``[\\x20\\x09-\\x0D]`` is deleted. Groups
 of one by length are settled by a count; the rest are grouped by length and prefix hash; the whole text is hashed only
-where that group still has more than one row. No text is ever shuffled while the keys of surviving groups fit a checked
-broadcast; beyond that the planner joins on the keys, which spread over all rows but those of one group, and adaptive
-execution splits such a partition. Groups are reduced map-side to one row before they are shuffled, so a group that
-holds a third of all rows is a third of the rows of a join that may be split, never of one task.
+where that group still has more than one row. That is looked up in a broadcast while the keys of surviving groups fit one; beyond that every
+row counts as surviving, since its hash costs less than a shuffle of its text. Groups are reduced map-side to one row before they are
+shuffled. What goes is looked up by row numbers, which are spread evenly whatever the groups' sizes; the report joins
+rows without their texts, and adaptive execution may split a group that holds a third of them.
 
 Of equal texts the row with the most code points in the original text stays, then the smallest doc_id, then (repeated
 rows) the first as stored, so exactly one row of a group stays.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, store
+from .common import fits, fresh, keep, small, store, temporary
 
 PREFIX_CHARS = 64
 _SPACES = " \t\n\v\f\r"
@@ -57,16 +57,21 @@ def refine(docs: DataFrame, digest: bool = False, carry: bool = False) -> tuple[
     ``carry``: rows keep the columns of ``docs``; otherwise only doc_id.
     """
     names = _names(docs)
-    keep = docs.columns if carry else ["doc_id"]
+    carried = docs.columns if carry else ["doc_id"]
     by_length, by_prefix = [names["len"]], [names["len"], names["prefix"]]
-    # rows are counted map-side by both keys; lengths are settled on the counts, so a common length is a row for each of its prefixes
-    counts = store(keyed(docs, names, False).groupBy(*by_prefix).agg(F.count(F.lit(1)).alias("n_")), "dedup-counts")
-    lengths = counts.groupBy(*by_length).agg(F.sum("n_").alias("n_")).where("n_ > 1").select(*by_length)
-    prefixes = store(counts.join(lengths, by_length, "left_semi").where("n_ > 1").select(*by_prefix), "dedup-prefixes")
-    rows = keyed(docs, names, digest).join(small(prefixes.withColumn(names["more"], F.lit(True))), by_prefix, "left")
-    full = F.when(F.col(names["more"]), F.col(names["sha"]) if digest else F.sha2(F.col(names["norm"]).cast("binary"), 256))
-    rows = rows.withColumn(names["full"], full).withColumn(names["row"], F.monotonically_increasing_id())
-    rows = store(rows.select(*keep, names["row"], names["size"], names["full"], *([names["sha"]] if digest else [])), "dedup-rows")
+    with temporary():
+        # rows are counted map-side by both keys; lengths are settled on the counts, so a common length is a row for each of its prefixes
+        counts = store(keyed(docs, names, False).groupBy(*by_prefix).agg(F.count(F.lit(1)).alias("n_")), "dedup-counts")
+        lengths = counts.groupBy(*by_length).agg(F.sum("n_").alias("n_")).where("n_ > 1").select(*by_length)
+        prefixes = store(counts.join(lengths, by_length, "left_semi").where("n_ > 1").select(*by_prefix), "dedup-prefixes")
+        rows = keyed(docs, names, digest)
+        if fits(prefixes):
+            rows = rows.join(F.broadcast(prefixes.withColumn(names["more"], F.lit(True))), by_prefix, "left")
+        else:
+            rows = rows.withColumn(names["more"], F.lit(True))
+        full = F.when(F.col(names["more"]), F.col(names["sha"]) if digest else F.sha2(F.col(names["norm"]).cast("binary"), 256))
+        rows = rows.withColumn(names["full"], full).withColumn(names["row"], F.monotonically_increasing_id())
+        rows = store(rows.select(*carried, names["row"], names["size"], names["full"], *([names["sha"]] if digest else [])), "dedup-rows", keep=True)
     first = F.struct((-F.col(names["size"])).alias("s"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col(names["row"]).alias("row"))
     groups = (
         rows.where(F.col(names["full"]).isNotNull())
@@ -82,7 +87,9 @@ def exact_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, and text_sha256 if ``digest``."""
     rows, groups, names = refine(docs, digest)
     group = F.col(names["group"])
-    return rows.join(small(groups), names["full"], "left").select(
+    # rows that share a text with no other have keys of their own, so that they don't meet in one task
+    key = F.coalesce(F.col(names["full"]), F.col(names["row"]).cast("string"))
+    return rows.withColumn(names["full"], key).join(small(groups), names["full"], "left").select(
         F.col("doc_id"),
         F.when(group.isNull(), F.col("doc_id")).otherwise(group["keep_id"]).alias("keep_id"),
         F.coalesce(group["n"], F.lit(1)).cast("long").alias("group_size"),
@@ -93,7 +100,10 @@ def exact_groups(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that an equal text stands for; all columns as they were."""
-    rows, groups, names = refine(docs, carry=True)
-    group = F.col(names["group"])
-    kept = rows.join(small(groups), names["full"], "left").where(group.isNull() | (group["row"] == F.col(names["row"])))
-    return kept.select(*docs.columns)
+    with temporary():
+        rows, groups, names = refine(docs, carry=True)
+        rows = keep(rows, "dedup-rows")
+        slim = rows.where(F.col(names["full"]).isNotNull()).select(names["row"], names["full"])
+        gone = slim.join(small(groups), names["full"]).where(F.col(names["group"])["row"] != F.col(names["row"])).select(names["row"])
+        gone = store(gone, "dedup-gone", keep=True)
+    return rows.join(small(gone), names["row"], "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import small, store, temporary
 
 MAX_LABELLED = 20_000
 BINS = 16
@@ -115,27 +115,28 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     stats = statistics(F.col("text"))
     none = F.lit("")
     base = docs.select(F.col("doc_id"), F.coalesce(host.cast("string"), none).alias("host"), F.coalesce(path.cast("string"), none).alias("path"), *(c.cast("double").alias(k) for k, c in stats.items()))
-    base = store(base, "quality-statistics")
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
-    known = known.where(F.col("doc_id").isNotNull())
-    share = min(1.0, MAX_LABELLED / max(1, known.count()))
-    chosen = known if share == 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = np.array([tuple(r) for r in base.join(chosen, "doc_id").orderBy("doc_id").select(*stats, "y").collect()], float).reshape(-1, len(stats) + 1)
-    model = fit(rows[:, :-1], rows[:, -1])
-    own = base.select("doc_id", "host", "path", evidence([F.col(k) for k in stats], model).alias("evidence"))
-    own = own.withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-
-    paths = store(own.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p") ** 2).alias("squares")), "quality-paths")
-    n, good = paths.agg(F.sum("n"), F.sum("good")).first()
-    mean = float(np.clip(good / n, 1e-6, 1 - 1e-6)) if n else 0.5
-    rate = F.col("good") / F.col("n")
-    spread = F.greatest(F.col("squares") / F.col("n") - rate * rate, F.lit(0.0))
-    hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("good", "n", "squares"))).withColumn("spread", spread).withColumn("global", F.lit(mean))
-    s = _strength(mean, _spread(hosts, "global"))
-    hosts = hosts.select("host", ((s * mean + F.col("good")) / (s + F.col("n"))).alias("host_rate"))
-    paths = paths.withColumn("spread", spread).join(small(store(hosts, "quality-hosts")), "host")
-    s = _strength(mean, _spread(paths, "host_rate"))
-    rates = store(paths.select("host", "path", "host_rate", ((s * F.col("host_rate") + F.col("good")) / (s + F.col("n"))).alias("path_rate")), "quality-rates")
+    with temporary():
+        base = store(base, "quality-statistics", keep=True)
+        known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
+        known = known.where(F.col("doc_id").isNotNull())
+        share = min(1.0, MAX_LABELLED / max(1, known.count()))
+        chosen = known if share == 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        rows = np.array([tuple(r) for r in base.join(chosen, "doc_id").orderBy("doc_id").select(*stats, "y").collect()], float).reshape(-1, len(stats) + 1)
+        model = fit(rows[:, :-1], rows[:, -1])
+        own = base.select("doc_id", "host", "path", evidence([F.col(k) for k in stats], model).alias("evidence"))
+        own = own.withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+
+        paths = store(own.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p") ** 2).alias("squares")), "quality-paths")
+        n, good = paths.agg(F.sum("n"), F.sum("good")).first()
+        mean = float(np.clip(good / n, 1e-6, 1 - 1e-6)) if n else 0.5
+        rate = F.col("good") / F.col("n")
+        spread = F.greatest(F.col("squares") / F.col("n") - rate * rate, F.lit(0.0))
+        hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("good", "n", "squares"))).withColumn("spread", spread).withColumn("global", F.lit(mean))
+        s = _strength(mean, _spread(hosts, "global"))
+        hosts = hosts.select("host", ((s * mean + F.col("good")) / (s + F.col("n"))).alias("host_rate"))
+        paths = paths.withColumn("spread", spread).join(small(store(hosts, "quality-hosts")), "host")
+        s = _strength(mean, _spread(paths, "host_rate"))
+        rates = store(paths.select("host", "path", "host_rate", ((s * F.col("host_rate") + F.col("good")) / (s + F.col("n"))).alias("path_rate")), "quality-rates", keep=True)
     out = own.join(small(rates), ["host", "path"])
     logit = F.col("evidence") - float(np.log(mean / (1 - mean))) + _logit(F.col("path_rate"))
     out = out.withColumn("score", 1 / (1 + F.exp(-logit)))
