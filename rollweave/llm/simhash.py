@@ -3,8 +3,11 @@
 A fingerprint of 64 bits is cut into three segments. If two fingerprints differ in at most four bits, one of the
 segments differs in at most one, so a signature of that segment with one bit deleted is equal for both. Every distinct
 fingerprint is filed under its 64 signatures (segment, deleted bit, remaining bits), equal signatures meet by a shuffle on
-the signature, and members of a bucket are verified by their Hamming distance. A bucket that stays large is filed again: its members'
-other 42 or 43 bits are cut into three segments once more, with the same argument.
+the signature, and members of a bucket are verified by their Hamming distance.
+
+A bucket that would hold more than LARGE members is not searched but filed again: its members' bits outside the bucket's
+segment are cut into three once more, with the same argument. A bucket is the union of two values of its segment, so counts of segment values (three rows a fingerprint, reduced map-side) tell beforehand which buckets may be
+large, and the 64-fold rows are shuffled once.
 
 In a bucket, a search from member to member visits each once and gives a spanning forest of the bucket's links, never all
 pairs: a group of near copies costs its size. Exact copies are one fingerprint. Links become components by distributed
@@ -18,6 +21,7 @@ name of a component unless it has no other; empty tables give empty results; ext
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -26,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import fresh, short_batches, small, store
+from ..plans.session import find_package
+from .common import chunks, fresh, short_batches, small, store, temporary
 
 SHINGLE = 4
 DISTANCE = 4
-#: (first bit, bits) of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Buckets with more members are filed again under finer signatures.
+#: Buckets with more members are filed again under finer signatures: about where comparing members costs more than filing them.
 LARGE = 50_000
+#: How often a fingerprint is filed at most. Members of a large bucket of the last level share 34 bits or more: near copies of one another, which the search takes in few steps.
+LEVELS = 2
 _BLOCK = 1 << 14
 
 
@@ -57,50 +62,58 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint of ``text`` in a column ``name``: a long that holds the 64 bits, signed."""
-    short_batches(docs.sparkSession)
+    find_package(docs.sparkSession)
     text = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("long")).schema)
 
 
-def _cut(first: int, bits: int) -> list[tuple[int, int]]:
-    a, b = -(-bits // 3), -(-(bits - -(-bits // 3)) // 2)
-    return [(first, a), (first + a, b), (first + a + b, bits - a - b)]
+def cut(bits: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the three segments of ``bits`` bits."""
+    a = -(-bits // 3)
+    b = -(-(bits - a) // 2)
+    return [(0, a), (a, b), (a + b, bits - a - b)]
+
 
+def _bits(of, first: int, bits: int):
+    return of if bits == 64 else F.shiftrightunsigned(of, first).bitwiseAND(F.lit((1 << bits) - 1))
 
-def _rotated(fp, by: int):
-    """64 bits rotated right."""
-    return F.shiftrightunsigned(fp, by).bitwiseOR(F.shiftleft(fp, 64 - by)) if by else fp
 
+def _keys(part, first: int, width: int, top: bool) -> list:
+    """Keys of the buckets of a segment's value: one for each deleted bit.
 
-def _variants(fp, segments: Iterable[tuple[int, int]], tag: int):
-    """Array of (slot, sig): the slot names segment and deleted bit, sig has the segment's other bits."""
+    A key names the bucket before, segment, deleted bit and what is left of the segment. Below the top it is a hash; two buckets
+    that share one only make verification look at more members.
+    """
     out = []
-    for first, bits in segments:
-        part = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
-        out += [F.struct(F.lit(tag + first + b).alias("slot"), part.bitwiseAND(F.lit(~(1 << b))).alias("sig")) for b in range(bits)]
-    return F.array(*out)
+    for b in range(width):
+        sig = part.bitwiseAND(F.lit(~(1 << b)).cast("long"))
+        out.append(sig.bitwiseOR(F.lit((first + b) << 32).cast("long")) if top else F.xxhash64("key", F.lit(first + b), sig))
+    return out
 
 
-def signatures(fps: DataFrame) -> DataFrame:
-    """64 rows (fp, slot, sig) for each distinct fingerprint."""
-    return fps.select("fp", F.inline(_variants(F.col("fp"), SEGMENTS, 0)))
+def file(rows: DataFrame, bits: int, top: bool) -> DataFrame:
+    """Rows (fp, key, rest, bits) under each signature of ``rest``: a new key, and the ``bits`` bits outside its segment."""
+    out = []
+    for first, width in cut(bits):
+        none = F.lit(0).cast("long")
+        below, above = _bits(F.col("rest"), 0, first) if first else none, _bits(F.col("rest"), first + width, bits - first - width) if first + width < bits else none
+        rest, left = below.bitwiseOR(F.shiftleft(above, first)), F.lit(bits - width)
+        out += [F.struct(key.alias("key"), rest.alias("rest"), left.alias("bits")) for key in _keys(_bits(F.col("rest"), first, width), first, width, top)]
+    return rows.select("fp", F.inline(F.array(*out)))
 
 
-def finer(rows: DataFrame) -> DataFrame:
-    """Members of large buckets again, under variants of the bits outside the bucket's segment."""
-    parts = []
-    for k, (first, bits) in enumerate(SEGMENTS):
-        after = (first + bits) % 64
-        fp = _rotated(F.col("fp"), after)
-        here = rows.where(F.col("slot").between(first, first + bits - 1))
-        parts.append(here.select("fp", F.inline(F.transform(_variants(fp, _cut(0, 64 - bits), 64 * (k + 1)), lambda v: F.struct((v["slot"] + 4096 * (F.col("slot") + 1)).alias("slot"), F.xxhash64(F.col("sig"), v["sig"]).alias("sig"))))))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def large_buckets(rows: DataFrame, bits: int, top: bool, large: int) -> DataFrame:
+    """Keys of ``file`` whose bucket may have more than ``large`` members: one of its two segment values has more than half of that."""
+    values = F.array(*(F.struct(F.lit(first).alias("first"), _bits(F.col("rest"), first, width).alias("value")) for first, width in cut(bits)))
+    often = rows.select("key", F.inline(values)).groupBy("key", "first", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large // 2)
+    of_segments = (often.where(F.col("first") == first).select(F.explode(F.array(*_keys(F.col("value"), first, width, top))).alias("key")) for first, width in cut(bits))
+    return reduce(DataFrame.unionByName, of_segments).distinct()
 
 
 def _differing(a: np.ndarray, b) -> np.ndarray:
@@ -126,14 +139,14 @@ def _forest(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
 
 
 def bucket_links(batches: Iterable[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (slot, sig, fp) that arrive sorted by slot and sig; one bucket is held at a time."""
-    held: np.ndarray | None = None
-
-    def links(rows: np.ndarray) -> pa.RecordBatch | None:
-        key = rows[:, 0:2]
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(rows)])
-        fps = rows[:, 2]
+    """Links (a, b) of rows (key, fp) that arrive sorted by key; one bucket is held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        key, fps = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(starts, append=len(key))
         pairs = starts[sizes == 2]
         near = pairs[_differing(fps[pairs], fps[pairs + 1]) <= distance]
         a, b = [fps[near]], [fps[near + 1]]
@@ -145,54 +158,73 @@ def bucket_links(batches: Iterable[pa.RecordBatch], distance: int = DISTANCE) ->
         if len(x):
             one = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             one = one[one[:, 0] != one[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], ["a", "b"])
-        return None
+            yield pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], ["a", "b"])
 
     for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in (batch.column("slot"), batch.column("sig"), batch.column("fp"))], axis=1).astype(np.int64)
-        if not len(rows):
+        key, fps = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "fp"))
+        if not len(key):
             continue
-        rows = rows if held is None else np.concatenate([held, rows])
-        same = (rows[:, 0:2] == rows[-1, 0:2]).all(axis=1)
-        last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-        held = rows[last:]
-        if last and (out := links(rows[:last])) is not None:
-            yield out
-    if held is not None and (out := links(held)) is not None:
-        yield out
-
-
-def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect whatever chains of links connect."""
+        # the last bucket may go on in the next batch
+        last = int(np.searchsorted(key, key[-1]))
+        if last or held and held[-1][0][-1] != key[0]:
+            held.append((key[:last], fps[:last]))
+            yield from links()
+        held.append((key[last:], fps[last:]))
+    if held:
+        yield from links()
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE, levels: int = LEVELS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect whatever chains of links connect; a stored table."""
     if distance > 5:
         raise ValueError("three segments with one deleted bit find distances up to 5")
-    short_batches(fps.sparkSession)
-    rows = signatures(fps)
-    hot = rows.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("slot", "sig")
-    n_hot = (hot := store(hot, "hot-buckets")).count()
-    if n_hot:
-        rows = rows.join(small(hot, n_hot), ["slot", "sig"], "left_anti").unionByName(finer(rows.join(small(hot, n_hot), ["slot", "sig"], "left_semi")))
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select("slot", "sig", "fp").repartition(parts, "slot", "sig").sortWithinPartitions("slot", "sig")
-    return met.mapInArrow(lambda batches: bucket_links(batches, distance), "a long, b long")
+    spark = fps.sparkSession
+    find_package(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(filed: DataFrame) -> DataFrame:
+        buckets = filed.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
+        return buckets.mapInArrow(lambda batches: bucket_links(batches, distance), "a long, b long")
+
+    found = []
+    with temporary():
+        # a row makes 64: the few files of fingerprints are dealt to all tasks before they grow
+        level = [(fps.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")).repartition(parts), 64)]
+        for depth in range(levels):
+            top, below = depth == 0, []
+            for rows, bits in level:
+                filed, hot = file(rows, bits, top), None
+                widths = {bits - width for _, width in cut(bits)}
+                if depth + 1 < levels and rows.count() > large // 2:
+                    hot = store(large_buckets(rows, bits, top, large), "large-buckets")
+                if hot is not None and not hot.isEmpty():
+                    again = store(filed.join(small(hot), "key", "left_semi"), "filed-again")
+                    below += [(again.where(F.col("bits") == w).select("fp", "key", "rest"), w) for w in sorted(widths)]
+                    filed = filed.join(small(hot), "key", "left_anti")
+                found.append(store(met(filed), "bucket-links"))
+            level = below
+        return store(reduce(DataFrame.unionByName, found).distinct(), "fingerprint-links", keep=True)
 
 
 def _first_of_each(rows: DataFrame, fp: str, first, distance: int) -> DataFrame:
-    """(fp, first): the smallest ``first`` of the component of every distinct fingerprint."""
-    groups = store(rows.select(F.col(fp).alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("first")), "distinct-fingerprints")
-    found = store(links(groups.select("fp"), distance).distinct(), "fingerprint-links")
-    labels = connected_components(found, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    linked = groups.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = linked.groupBy("root").agg(F.min("first").alias("first"))
-    return store(linked.drop("first").join(names, "root").select("fp", "first"), "named-fingerprints")
+    """(fp, first): the smallest ``first`` of the component of every distinct fingerprint; a stored table."""
+    with temporary():
+        groups = store(rows.select(F.col(fp).alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("first")), "distinct-fingerprints")
+        labels = store(connected_components(links(groups.select("fp"), distance), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root")), "fingerprint-roots")
+        # names are made before they are joined, so that the join may split a root that very many fingerprints have
+        names = store(groups.join(labels, "fp").groupBy("root").agg(F.min("first").alias("named")), "component-names")
+        named = store(labels.join(small(names), "root").select("fp", "named"), "linked-names")
+        out = groups.join(small(named), "fp", "left").select("fp", F.coalesce("named", "first").alias("first"))
+        return store(out, "named-fingerprints", keep=True)
 
 
 def components(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``; component_id is the smallest doc_id that links reach."""
     short = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = store(fingerprints(short, shingle).select("doc_id", "fp"), "fingerprints")
+    with short_batches(docs.sparkSession):
+        rows = store(fingerprints(short, shingle).select("doc_id", "fp"), "fingerprints")
     named = _first_of_each(rows, "fp", F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id")), distance)
-    return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    return rows.join(small(named), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -202,8 +234,11 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     a count shows that they are few.
     """
     fp, row = fresh("_fp", docs.columns), fresh("_row", docs.columns)
-    rows = store(fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), shingle, fp), "numbered-fingerprints")
+    with short_batches(docs.sparkSession):
+        rows = store(fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), shingle, fp), "numbered-fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
-    named = _first_of_each(rows, fp, first, distance).select(F.col("fp").alias(fp), F.col("first.row").alias("stays"))
-    gone = store(rows.select(row, fp).join(named, fp).where(F.col(row) != F.col("stays")).select(row), "near-copies")
+    with temporary():
+        named = _first_of_each(rows, fp, first, distance)
+        stays = named.select(F.col("fp").alias(fp), F.col("first.row").alias("stays"))
+        gone = store(rows.select(row, fp).join(small(stays, named), fp).where(F.col(row) != F.col("stays")).select(row), "near-copies", keep=True)
     return rows.join(small(gone), row, "left_anti").select(*docs.columns)
