@@ -4,13 +4,13 @@ The library's own ``encode`` spends most of its time on words that it has met be
 characters are cut into the pre-tokenizer's words by Arrow kernels, every distinct word is encoded once by the
 ``tokenizers`` library, and a text's ids are the joined ids of its words. Other texts are cut only where the
 pre-tokenizer always cuts: before a single space between two characters that aren't white space. Memory is
-bounded: the memo is emptied when it is full.
+bounded: the memo is emptied when it is full, and a call should bring a few megabytes at a time.
 """
 
 from __future__ import annotations
 
 import re
-from struct import pack
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +39,24 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE_LETTER, _FEED_LETTER = chr(_BYTE_LETTERS[32]), chr(_BYTE_LETTERS[10])
+
+
+def _spelt(word: str) -> str:
+    """A word in the byte-level alphabet. Printable ASCII stands for itself, so most words only change a space in front."""
+    if not word.isascii():
+        return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+    if word[:1] == " ":
+        return _SPACE_LETTER + word[1:]
+    return _FEED_LETTER if word == "\n" else word
 
 
 class Encoder:
-    """Encodes with the tokenizer file at ``path``, special tokens' strings taken as ordinary text."""
+    """Encodes with the tokenizer file at ``path``, special tokens' strings taken as ordinary text.
+
+    Words that were met are numbered: word k has pool[ends[k]:ends[k + 1]]. The memo is emptied between calls, never inside
+    one, so it holds MEMO words and those of one call at most.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,33 +64,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text by the library alone, as little-endian unsigned 32-bit integers."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, word: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if _SURE.fullmatch(word):
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-            out = pack(f"<{len(ids)}I", *ids)
-        else:
-            out = self.whole(word)
-        self.memo[word] = out
-        return out
+        self._empty()
+
+    def _empty(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.pool, self.ends = array("I"), array("q", [0])
 
-    def careful(self, text: str) -> bytes:
-        """A text of any characters."""
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text by the library alone."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, word: str, sure: bool = False) -> int:
+        """Number of a new word; ``sure``: the pre-tokenizer is known to leave it whole."""
+        if sure or _SURE.fullmatch(word):
+            self.pool.extend([t.id for t in self.model.tokenize(_spelt(word))])
+        else:
+            self.pool.extend(self.whole(word))
+        self.ends.append(len(self.pool))
+        number = self.memo[word] = len(self.memo)
+        return number
+
+    def _joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered words, one after the other, and how many ids there are up to each word."""
+        if not (len(numbers) and self.pool):
+            return np.zeros(0, "<u4"), np.zeros(len(numbers), np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
+        stops = ends[1:][numbers]
+        each = stops - ends[numbers]
+        upto = np.cumsum(each)
+        return np.frombuffer(self.pool, np.uint32)[np.arange(upto[-1]) + np.repeat(stops - upto, each)], upto
+
+    def careful(self, text: str) -> np.ndarray:
+        """Ids of a text of any characters."""
         get, learn = self.memo.get, self._learn
-        out = []
+        out, known = [], []
+
+        def flush() -> None:
+            out.append(self._joined(np.array(known, np.int64))[0])
+            known.clear()
+
         for p in _CUT.split(text) if text else []:
             if len(p) > 200 or _SPACE.search(p, 1):
-                out.append(self.whole(p))
+                flush()
+                out.append(np.array(self.whole(p), "<u4"))
             else:
-                out.append(learn(p) if (ids := get(p)) is None else ids)
-        return b"".join(out)
+                known.append(learn(p) if (k := get(p)) is None else k)
+        flush()
+        return np.concatenate(out)
 
     def _plain(self, texts: pa.Array, marked: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -89,19 +123,15 @@ class Encoder:
         lists = pc.split_pattern(barred, _BAR)
         words = lists.flatten().dictionary_encode()
         get, learn = self.memo.get, self._learn
-        known = [b"" if not w else learn(w) if (ids := get(w)) is None else ids for w in words.dictionary.to_numpy(zero_copy_only=False)]
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
-        index = words.indices.to_numpy(zero_copy_only=False)
-        each = lengths[index]
-        ends = np.cumsum(each)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + each, each)
+        known = [learn(w, True) if (k := get(w)) is None else k for w in words.dictionary.to_numpy(zero_copy_only=False)]
+        ids, upto = self._joined(np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)])
         bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        totals = np.concatenate(([0], ends))[bounds]
-        return pool[take], np.diff(totals)
+        return ids, np.diff(np.concatenate(([0], upto))[bounds])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]], the id ``end`` last; null counts as empty."""
+        if len(self.memo) > MEMO:
+            self._empty()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         hard = np.asarray(pc.match_substring_regex(texts, _HARD))
         marked = np.asarray(pc.match_substring_regex(texts, _MARKED))
@@ -114,7 +144,7 @@ class Encoder:
                 order.append(rows)
         rows = np.flatnonzero(hard)
         if len(rows):
-            found = [np.frombuffer(self.careful(t), "<u4") for t in texts.take(pa.array(rows)).to_pylist()]
+            found = [self.careful(t) for t in texts.take(pa.array(rows)).to_pylist()]
             counts[rows] = [len(f) for f in found]
             parts.append(np.concatenate(found))
             order.append(rows)

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, small, store
+from ..plans.session import find_package
+from .common import chunks, short_batches, small, store
 from .encode import encoder
 
 SHARD_TOKENS = 1 << 19
@@ -170,7 +171,7 @@ def _shard_row(part: int, shard: int, doc_ids: list, ids: np.ndarray, doc_tokens
 def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows of the file format for ``docs`` (doc_id, text), in ascending order of doc_id over parts and shards."""
     spark = docs.sparkSession
-    short_batches(spark)
+    find_package(spark)
     schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in FILE_SCHEMA.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_t
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_shard_row(part, shard, doc_ids, np.concatenate(held), np.array(tokens, np.int64))], schema=schema)
 
-        for batch in batches:
+        for batch in chunks(batches):
             ids, bounds = enc.encode(batch.column(1), end_id)
             names, at = batch.column(0).to_pylist(), 0
             while at < len(names):
@@ -210,7 +211,7 @@ def read_documents(shards: DataFrame, told: Callable[[bytes], int] | None = None
     many as shuffle partitions) meets at the driver: its ids. Shards aren't shuffled: their places are broadcast after a check.
     """
     spark = shards.sparkSession
-    short_batches(spark)
+    find_package(spark)
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     base, before = 0, []
     for part, n in sorted(map(tuple, totals)):
@@ -219,7 +220,7 @@ def read_documents(shards: DataFrame, told: Callable[[bytes], int] | None = None
     starts = spark.createDataFrame(before, "part int, base_ long")
     earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     places = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before_")).join(F.broadcast(starts), "part")
-    placed = shards.join(small(places.select("part", "shard", (F.col("base_") + F.col("before_")).alias("start_"))), ["part", "shard"])
+    placed = shards.join(small(store(places.select("part", "shard", (F.col("base_") + F.col("before_")).alias("start_")), "shard-places")), ["part", "shard"])
     columns = ["start_", "doc_ids", "doc_nulls", "doc_tokens", "alphabet", "rules", "wide", "symbols"]
     return placed.select(*columns).mapInArrow(lambda b: _decode(b, told), "doc_id long, start long, n_tokens long, " + ("ids binary" if told is None else "told long"))
 
@@ -275,4 +276,6 @@ def decode_document(row: dict, k: int) -> np.ndarray:
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0, told: Callable[[bytes], int] | None = None) -> DataFrame:
     """Encode, write the files into the shared folder, and read every document back from them."""
-    return read_documents(store(encode_shards(docs, tokenizer_path, end_id), "repair"), told)
+    with short_batches(docs.sparkSession):
+        shards = store(encode_shards(docs, tokenizer_path, end_id), "repair")
+    return read_documents(shards, told)
