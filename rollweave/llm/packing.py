@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Method: bounded-space online best-fit. A shard keeps a fixed number of open bins; a bitset has bit ``f`` set while
+Method: bounded-space online best-fit. A stream of pieces meets a fixed number of open bins; a bitset has bit ``f`` set while
 some open bin has ``f`` tokens free, so the tightest bin that takes a piece is the lowest set bit at or above the
-piece's length. When one bin too many is open, the fullest closes. Pieces reach a shard largest first (an external
-sort), which is the arrival order that leaves online best-fit the least waste.
+piece's length. When one bin too many is open, the fullest closes. Pieces arrive in waves of about WAVE_PIECES, each wave largest first
+(one external sort by wave and length), and bins stay open from wave to wave, so what a wave's large pieces leave is filled by its small ones
+and by the next wave's. There are at most as many streams as shuffle partitions, each as long as it has to be.
 
 Edge cases: a null or empty text is a document of its end token alone; a text longer than a sequence is cut into whole
 sequences after a first, shorter piece; repeated rows are packed once for each row; a null document id stays null; an
@@ -20,13 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, store
+from ..plans.session import find_package
+from .common import chunks, short_batches, store
 from .encode import encoder
 
 CAPACITY = 2048
-OPEN_BINS = 4096
-#: Pieces of a shard, about: the half-filled bins at its end cost well under 0.1 % and few bins close early.
-SHARD_PIECES = 8_192
+OPEN_BINS = 1024
+#: Pieces of a wave, about. At most half of them open a bin for good, so that a wave alone doesn't overflow OPEN_BINS.
+WAVE_PIECES = 2_048
+#: Waves of a stream, at least: the bins that are still open at its end hold well under 0.1 % of its tokens.
+STREAM_WAVES = 16
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
@@ -39,7 +43,7 @@ class OpenBins:
         self.capacity, self.limit = capacity, limit
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.free = 0  # the bitset
-        self.open = self.made = 0
+        self.open = self.made = self.closed = 0
 
     def _put(self, bin_id: int, free: int) -> None:
         self.by_free[free].append(bin_id)
@@ -69,6 +73,7 @@ class OpenBins:
             self._put(bin_id, free - length)
             if self.open > self.limit:
                 self._take((self.free & -self.free).bit_length() - 1)
+                self.closed += 1
         return bin_id, self.capacity - free
 
 
@@ -82,11 +87,11 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces of every whole text of ``docs`` (doc_id, text); ``keep_ids`` adds the ids as little-endian binary."""
-    short_batches(docs.sparkSession)
+    find_package(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(tokenizer_path), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in chunks(batches):
             ids, bounds = enc.encode(batch.column(1), end_id)
             rows, raw = [], []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
@@ -107,33 +112,31 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capa
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA + ", ids binary" * keep_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, wave_pieces: int = WAVE_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``uid`` (unique) and ``length`` (1 to ``capacity``).
 
-    A piece that fills a sequence gets one of its own (a negative id) and is never shuffled. The number of shards
-    follows the number of other pieces; a shard's rows are sorted on disk if need be and packed as they stream by.
+    A piece that fills a sequence gets one of its own (a negative id) and is never shuffled. The number of waves
+    follows the number of other pieces; a stream's rows are sorted on disk if need be and packed as they flow by.
     """
+    spark = pieces.sparkSession
+    find_package(spark)
     other = pieces.where(F.col("length") < capacity)
-    shards = max(1, -(-other.count() // shard_pieces))
+    waves = max(1, -(-other.count() // wave_pieces))
+    streams = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), waves // STREAM_WAVES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, bins = None, None
+        bins, first = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            sequence, offset = [], []
-            for s, n in zip(batch.column("shard_").to_pylist(), batch.column("length").to_pylist()):
-                if s != shard:
-                    shard, bins = s, OpenBins(capacity, open_bins)
-                b, o = bins.place(n)
-                sequence.append((s << 40) + b)
-                offset.append(o)
-            kept = [n for n in batch.schema.names if n != "shard_"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*kept, "sequence_id", "offset"])
+            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
+            kept = [n for n in batch.schema.names if n != "wave_"]
+            columns = [pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns], [*kept, "sequence_id", "offset"])
 
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     packed = (
-        other.withColumn("shard_", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-        .repartition(shards, "shard_")
-        .sortWithinPartitions("shard_", F.desc("length"), "uid")
+        other.withColumn("wave_", F.pmod(F.xxhash64("uid"), F.lit(waves)))
+        .repartitionById(streams, F.pmod("wave_", F.lit(streams)).cast("int"))
+        .sortWithinPartitions("wave_", F.desc("length"), "uid")
         .mapInArrow(run, schema)
     )
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": (F.col("uid") * 0).cast("long")})
@@ -142,5 +145,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Tokenise once (the pieces are stored in the shared folder) and pack."""
-    pieces = store(tokenised_pieces(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces")
+    with short_batches(docs.sparkSession):
+        pieces = store(tokenised_pieces(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces")
     return pack(pieces, capacity).drop("uid")
