@@ -12,6 +12,7 @@ table gives an empty result; extra columns aren't read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,13 +88,13 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain."),
 )
 
-#: A line that states whose work it is; prose of a wrapped licence may begin with the same word.
+#: A line that states whose work it is; prose of a wrapped licence may begin with the same word. Lines end at line feeds alone.
 COPYRIGHT = (
-    r"(?m)^[^\S\n]*(?:©|\(c\)[^\S\n]*(?:[\d<\[{]|©|copyright\b)|copyright\b[^\S\n:,]*(?:\(c\)|©|by\b|[\d<\[{]"
+    r"(?dm)^[^\S\n]*(?:©|\(c\)[^\S\n]*(?:[\d<\[{]|©|copyright\b)|copyright\b[^\S\n]*+(?:\(c\)|©|by\b|[\d<\[{]"
     r"|(?!(?:notices?|holders?|owners?|laws?|treat(?:y|ies))\b)[^\n]*\b(?:authors|contributors|developers|inc|llc|ltd|gmbh|corp|corporation|foundation|(?:19|20)\d\d)\b))[^\n]*$"
 )
 #: One of these is in every known text.
-HINT = "licen[cs]|permission|copyright|software"
+HINTS = ("licenc", "licens", "permission", "copyright", "software")
 #: What separates words in the canonical form.
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+"
 
@@ -111,6 +112,11 @@ def full_texts() -> list[tuple[str, str]]:
     return [v for f in sorted(files, key=lambda f: f.name) for v in _variants(f.name[:-4], f.read_text("utf-8"))]
 
 
+def all_known() -> list[tuple[str, str]]:
+    """KNOWN, variants of its BSD texts, and the shipped texts."""
+    return [*KNOWN, *(v for n, t in KNOWN if n.startswith("BSD") for v in _variants(n, t)), *full_texts()]
+
+
 def read_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     """(licence, text) of a folder of ``<SPDX identifier>.txt`` files, such as SPDX publishes: more ``known`` for ``scan``."""
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1), "value")
@@ -118,14 +124,22 @@ def read_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form: words in lower case, one space apart; null for texts without words."""
-    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    out = F.when(F.regexp_like(out, F.lit(COPYRIGHT)), F.regexp_replace(out, COPYRIGHT, " ")).otherwise(out)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, MARKS, " ")), F.lit(" "))
-    for found, by in SPELLINGS:
-        out = F.replace(out, F.lit(f" {found} "), F.lit(f" {by} "))
-    out = F.trim(out)
-    return F.when(out != "", out)
+    """Canonical form: words in lower case and one spelling, one space apart; null for texts without words.
+
+    Words are looked up one by one, so neighbours can't hide each other, and only in texts that have any word of SPELLINGS.
+    """
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    stated = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    words = F.array_remove(F.split(F.when(stated, F.regexp_replace(low, COPYRIGHT, " ")).otherwise(low), MARKS), "")
+    odd = F.array(*(F.lit(found) for found, _ in SPELLINGS))
+    spelt = F.create_map(*(F.lit(w) for pair in SPELLINGS for w in pair))
+
+    def joined(ws: Column) -> Column:
+        same = F.when(F.arrays_overlap(ws, odd), F.transform(ws, lambda w: F.coalesce(F.try_element_at(spelt, w), w))).otherwise(ws)
+        return F.array_join(same, " ")
+
+    out = F.transform(F.array(words), joined)[0]  # a lambda's argument is computed once, however often it is used
+    return F.nullif(out, F.lit(""))
 
 
 def digest(text: Column) -> Column:
@@ -144,14 +158,15 @@ def scan(docs: DataFrame, known=None) -> DataFrame:
     ``known``: (licence, text) pairs, by default KNOWN and the shipped texts.
     """
     spark = docs.sparkSession
-    known = [*KNOWN, *(v for n, t in KNOWN if n.startswith("BSD") for v in _variants(n, t)), *full_texts()] if known is None else list(known)
+    known = all_known() if known is None else list(known)
     table = known_digests(spark, known)
     row = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_sha256", digest(F.col("text")))
     by_text = row.join(F.broadcast(table), F.col("text_sha256") == F.col("digest"), "left").drop("digest")
     # the same table as a map inside the plan: a few dozen fixed entries
     pairs = F.map_from_entries(F.array(*(F.struct(F.lit(d), F.lit(n)) for d, n in sorted(map(tuple, table.collect())))))
     likely = F.split("text", "\n")
-    if all(re.search(HINT, t.lower()) for _, t in known):  # then a line without any of these words can't be one of them
-        likely = F.filter(likely, lambda x: F.regexp_like(F.lower(x), F.lit(HINT)))
+    if all(re.search("|".join(HINTS), t.lower()) for _, t in known):  # then a text or a line without any of these words can't be one of them
+        hinted = lambda x: reduce(Column.__or__, (F.lower(x).contains(h) for h in HINTS))
+        likely = F.when(hinted(F.col("text")), F.filter(likely, hinted)).otherwise(F.array().cast("array<string>"))
     notices = F.filter(F.transform(likely, lambda x: F.try_element_at(pairs, digest(x))), lambda x: x.isNotNull())
     return by_text.select("doc_id", "text_sha256", "licence", F.array_sort(notices).alias("notices"))

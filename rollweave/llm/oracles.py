@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .licences import HINT, KNOWN, SPELLINGS
+import hashlib
+import re
+
+from .licences import SPELLINGS, all_known
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -61,30 +64,46 @@ FROM g
 """
 
 
+# Three plain questions about a line, for engines without lookahead: it goes if the first says yes, or the second yes and the third no.
+_OWNED = r"^[ \t\x0b\x0c\r]*(?:©|\(c\)[ \t\x0b\x0c\r]*(?:[0-9<\[{]|©|copyright\b)|copyright\b[ \t\x0b\x0c\r]*(?:\(c\)|©|by\b|[0-9<\[{]))"
+_NAMED = r"^[ \t\x0b\x0c\r]*copyright\b.*\b(?:authors|contributors|developers|inc|llc|ltd|gmbh|corp|corporation|foundation|(?:19|20)[0-9][0-9])\b"
+_PROSE = r"^[ \t\x0b\x0c\r]*copyright\b[ \t\x0b\x0c\r]*(?:notice|notices|holder|holders|owner|owners|law|laws|treaty|treaties)\b"
+_MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+"
+
+
+def plain_canonical(text: str) -> str:
+    """Canonical form of a licence text, written again in Python."""
+    lines = [x for x in text.lower().split("\n") if not (re.search(_OWNED, x) or re.search(_NAMED, x, re.S) and not re.search(_PROSE, x))]
+    spelt = dict(SPELLINGS)
+    return " ".join(spelt.get(w, w) for w in re.split(_MARKS, "\n".join(lines)) if w)
+
+
 def _canonical(text: str) -> str:
-    """SQL of the licences' canonical form, '' where there are no words."""
-    out = rf"' ' || trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t\x0b\x0c\r]*(?:copyright\b|\(c\)|©)[^\n]*$', ' ', 'g'), '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', ' ', 'g')) || ' '"
-    for found, by in SPELLINGS:
-        out = f"replace({out}, ' {found} ', ' {by} ')"
-    return f"trim({out})"
+    """SQL of the same, '' where there are no words."""
+    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT (regexp_matches(x, '{_OWNED}') OR regexp_matches(x, '{_NAMED}', 's') AND NOT regexp_matches(x, '{_PROSE}')))"
+    words = f"list_filter(string_split_regex(array_to_string({lines}, chr(10)), '{_MARKS}'), lambda w: w <> '')"
+    pairs = ", ".join(f"'{found}': '{by}'" for found, by in SPELLINGS)
+    return f"coalesce(array_to_string(list_transform({words}, lambda w: coalesce(MAP {{{pairs}}}[w], w)), ' '), '')"
 
 
 def _op8() -> str:
-    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests: dict[str, str] = {}
+    for name, text in all_known():
+        if plain := plain_canonical(text):
+            key = hashlib.sha256(plain.encode()).hexdigest()
+            digests[key] = min(name, digests.get(key, name))
+    known = ", ".join(f"('{k}', '{n}')" for k, n in sorted(digests.items()))
     return f"""
-WITH known AS (
-  SELECT c, min(licence) AS licence FROM (SELECT licence, {_canonical("text")} AS c FROM (VALUES {known}) AS v(licence, text)) WHERE c <> '' GROUP BY c
-),
+WITH known AS (SELECT * FROM (VALUES {known}) AS v(digest, licence)),
 d AS (SELECT doc_id, {_canonical("text")} AS c FROM documents),
 l AS (
   SELECT doc_id, k.licence FROM (
-    SELECT doc_id, {_canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-    WHERE regexp_matches(lower(line), '{HINT}')
-  ) x JOIN known k ON x.c = k.c
+    SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  ) x JOIN known k ON x.digest = k.digest
 ),
 n AS (SELECT doc_id, count(*) AS n_notices, string_agg(licence, ',' ORDER BY licence) AS notices FROM l GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.c <> '' THEN sha256(d.c) END AS text_sha256, k.licence, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
-FROM d LEFT JOIN known k ON d.c = k.c LEFT JOIN n ON d.doc_id = n.doc_id
+FROM d LEFT JOIN known k ON d.c <> '' AND sha256(d.c) = k.digest LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
 
