@@ -199,8 +199,10 @@ def _mapped(layout: Layout, schema: T.StructType, of) -> Column | None:
 def canonical(df: DataFrame, columns: list[str] | None = None, json: str | None = None, layouts=LAYOUTS) -> DataFrame:
     """``df`` with fingerprint, layout (null: none known) and turns: array of (role, text).
 
-    ``columns``: those that make up the record (all by default); ``json``: a string column that holds the records instead.
+    ``columns``: those that make up the record (all by default); ``json``: a string column that holds the records instead. A column of
+    ``df`` that has one of these names stays as it is; the new one then gets an underscore at its end.
     """
+    names = {n: fresh(n, df.columns) for n in ("fingerprint", "layout", "turns")}
     if json is not None:
         record = fresh("_record", df.columns)
         schema = json_schema(layouts)
@@ -216,7 +218,7 @@ def canonical(df: DataFrame, columns: list[str] | None = None, json: str | None
         if (made := _mapped(layout, schema, of)) is not None:
             here = F.col(mark).isin(*(f for f in layout.fingerprints() if json is None or f != fingerprint([])))
             name, turns = F.when(here, F.lit(layout.name)).otherwise(name), F.when(here, made.cast(_TURNS)).otherwise(turns)
-    out = df.withColumns({"layout": name, "turns": turns}).withColumnRenamed(mark, "fingerprint")
+    out = df.withColumns({names["layout"]: name, names["turns"]: turns}).withColumnRenamed(mark, names["fingerprint"])
     return out.drop(record) if record else out
 
 
