@@ -16,6 +16,7 @@ from ..errors import RowIdentityError, need_columns, need_frame
 from ..functions import similarity as S
 from ..functions.text import collapse, strip
 from ..plans.session import checkpoint
+from .blocks import pairs_in_blocks
 from .components import connected_components
 
 # Names of the result's columns.
@@ -78,9 +79,7 @@ def find_duplicates(df: DataFrame, name_col: str | list[str], dob_col: str, post
     left = named.withColumnsRenamed({"__node": "u", "__p": "pu", "__f": "fu"})
     right = named.withColumnsRenamed({"__node": "v", "__p": "pv", "__f": "fv"} | {c: c + "r" for c in b})
     on = (F.col("u") < F.col("v")) & S.may_reach(F.col("pu"), F.col("pv"), threshold)
-    for c in b:
-        on = on & (F.col(c) == F.col(c + "r"))
-    pairs = S.with_common(left.join(right, on), F.col("pu"), F.col("pv"), "__lcs").where(S.reaches(F.col("__lcs"), F.col("pu"), F.col("pv"), threshold))
+    pairs = S.with_common(pairs_in_blocks(left, right, b, [c + "r" for c in b], on, "u"), F.col("pu"), F.col("pv"), "__lcs").where(S.reaches(F.col("__lcs"), F.col("pu"), F.col("pv"), threshold))
     if twin_protection:
         pairs = S.with_common(pairs, F.col("fu"), F.col("fv"), "__first")
         alike = F.when((F.col("fu")["size"] + F.col("fv")["size"]) == 0, F.lit(100 >= twin_threshold)).otherwise(S.reaches(F.col("__first"), F.col("fu"), F.col("fv"), twin_threshold))

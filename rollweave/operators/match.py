@@ -18,6 +18,7 @@ from ..functions import similarity as S
 from ..functions.school import dob_range
 from ..functions.text import collapse, strip, title
 from ..log import get_logger
+from .blocks import pairs_in_blocks
 
 logger = get_logger(__name__)
 
@@ -142,13 +143,10 @@ def _best(left: DataFrame, register: DataFrame, left_keys: dict[str, Column], re
     names = register.select(*named, order.alias("order")).where(F.col("__r_name").isNotNull()).groupBy(*r_keys).agg(F.min("order").alias("__r_order")).withColumn("__r", S.prepared("__r_name"))
     wanted = keyed.select(*l_keys).where(F.col("__l_name").isNotNull()).distinct().withColumn("__l", S.prepared("__l_name"))
     l, r = F.col("__l"), F.col("__r")
-    on = S.may_reach(l, r, threshold)
-    for k in left_keys:
-        if k in register_keys:
-            on = on & (F.col(f"__l_{k}") == F.col(f"__r_{k}"))
-    if within is not None:
-        on = on & within
-    scored = S.with_common(wanted.join(names, on), l, r, "__lcs").where(S.reaches(F.col("__lcs"), l, r, threshold))
+    on = S.may_reach(l, r, threshold) if within is None else S.may_reach(l, r, threshold) & within
+    shared = [k for k in left_keys if k in register_keys]
+    pairs = pairs_in_blocks(wanted, names, [f"__l_{k}" for k in shared], [f"__r_{k}" for k in shared], on, "__l_name")
+    scored = S.with_common(pairs, l, r, "__lcs").where(S.reaches(F.col("__lcs"), l, r, threshold))
     rank = F.struct((-S.similarity(F.col("__lcs"), l, r)).alias("score"), F.col("__r_order").alias("order"), *r_keys)
     best = scored.groupBy(*l_keys).agg(F.min(rank).alias("__best")).select(*l_keys, F.col("__best.score").alias("__score"), *(F.col(f"__best.{k}").alias(k) for k in r_keys))
     row = F.struct(*(F.col(f"`{c}`") for c in register.columns))

@@ -145,6 +145,21 @@ def test_duplicates_columns_and_guards(spark):
         R.find_duplicates(df.withColumn("id", F.lit(1)), "first", "dob", "pc", id_col="id", check_ids=True)
 
 
+def test_hot_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
+    from rollweave.operators import blocks
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"b{i}") for i in range(60)] + [(99, None)], "u int, k string")
+    right = left.withColumnsRenamed({"u": "v", "k": "kr"})
+    plain = rows(left.join(right, (F.col("k") == F.col("kr")) & (F.col("u") < F.col("v"))), "u", "v")
+    for limit in (1, 7, 1000):
+        met = blocks.pairs_in_blocks(left, right, ["k"], ["kr"], F.col("u") < F.col("v"), "u", limit)
+        assert met.columns == ["u", "k", "v", "kr"] and rows(met, "u", "v") == plain
+    data = [(f"Ann{i:02d} Smith", "1", str(i)) for i in range(30)]
+    whole = found(spark, data, threshold=85)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    assert found(spark, data, threshold=85) == whole and len(set(whole.values())) >= 1
+
+
 def test_components_against_union_find(spark):
     import random
 
