@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block element; what never is main text (scripts, styles, menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, hidden elements) leaves one blank line for each element; nothing else
-does. The lengths of BLOCK successive lines are summed at every line. Where the sum surges the text begins, where it dives
+does. Class names and ids tell some of these; a name that tells it by one word among others (``share-price``) counts outside articles alone. The lengths of BLOCK successive lines are summed at every line. Where the sum surges the text begins, where it dives
 to zero (BLOCK left-out elements in a row) it ends; short lines before a region belong to it back to the first blank one. Text between is kept whole, in page order. On pages that mark their article,
 its edges are edges of regions too: no sum and no region reaches over them. Outside, text must surge by itself; inside,
 a sum of SURGE isn't asked where the whole article has none, but dives count.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import chunks, short_batches, store
 
 BLOCK = 3
 #: A sum of line lengths from which text begins.
@@ -51,20 +51,33 @@ _NAMES = frozenset(
     "footer comment comments disqus replies reply related recommended popup modal overlay widget pagination pager toolbar masthead topbar skip".split()
 )
 _COMMENT = frozenset("comment comments disqus reply replies".split())
+#: Words that say where or in what shape something stands, but not what it is.
+_NEUTRAL = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons center col column container content div element fixed float group head heading holder icon icons inline "
+    "inner item items large layout left line link links list main message mobile module outer page pane panel placeholder post posts right rail region row section site slot small "
+    "sticky stories story tab text title top unit wide wrap wrapper".split()
+)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _names(attrs: dict[str, str]) -> set[str]:
-    """First and last words of class names and the id, without names that tell what an element has or lacks."""
-    out = set()
+def _names(attrs: dict[str, str]) -> tuple[set[str], set[str]]:
+    """(sure, likely): words of class names and the id that name what isn't main text.
+
+    A name is sure if all its words are such words or neutral ones; it is likely if only its first or last word is one (share-price,
+    related-work). Names that tell what an element has or lacks don't count.
+    """
+    sure, likely = set(), set()
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = [p for p in re.split(r"[-_:]+|\d+", name) if p]
         if parts and parts[0] not in ("has", "no", "with", "without", "is"):
-            out |= {parts[0], parts[-1]}
-    return out
+            if all(p in _NAMES or p in _NEUTRAL or p == "header" for p in parts):
+                sure.update(parts)
+            else:
+                likely |= {parts[0], parts[-1]}
+    return sure, likely
 
 
 class _Page:
@@ -100,12 +113,13 @@ class _Page:
         if tag in _VOID:
             return
         _, out, article = self.stack[-1] if self.stack else ("", False, 0)
-        names = _names(attrs)
+        names, likely = _names(attrs)
         if not out and tag not in ("html", "body"):
             out = tag in _NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES
             out = out or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) is not None
             out = out or bool(names & (_COMMENT if tag in ("article", "main") else _NAMES))
-            out = out or not article and (tag == "header" or "header" in names and tag not in ("article", "main"))
+            # a likely name counts outside an article alone; inside, the density of the text decides
+            out = out or not article and (tag == "header" or tag not in ("article", "main") and bool("header" in names | likely or likely & _NAMES))
             if out:
                 self.blank()
         elif tag in ("article", "main") and not names & _COMMENT and self.form():
@@ -206,13 +220,13 @@ def main_text(source: str | None, block: int = BLOCK, surge: int = SURGE) -> str
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    short_batches(pages.sparkSession)
+    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html); a stored table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             texts = [main_text(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    with short_batches(pages.sparkSession):
+        return store(rows.mapInArrow(run, "page_id long, url string, text string, n_chars long"), "main-texts")
