@@ -1,6 +1,11 @@
 """From documents to packed training sequences, each stage over all that the one before kept.
 
-Every stage's result is written as Parquet in the shared folder and read again as the next one's documents.
+Every stage's result is written as Parquet in the shared folder and read again as the next one's documents; what a stage
+stored on its way, and the result before, are deleted then.
+
+Edge cases: a null text is an empty one in every stage, so of all null, empty and blank texts one row stays after exact dedup; repeated rows
+are copies of one another, of which one stays; a null doc_id is carried through; without labels nothing is toxic, without
+benchmark items nothing is contaminated; empty documents give an empty result; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -52,5 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.temporary():
+            docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(before)
     return docs
