@@ -30,7 +30,7 @@ from .common import fresh, small, store, temporary
 
 WINDOW = 13
 ANCHORS = 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands after the last word of every text in the index, where its position is the number of words; no word is empty.
 END = ""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +42,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words in order: the text is cut at what no word has, which is half the work of finding each word."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), "")
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
