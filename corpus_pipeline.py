@@ -10,32 +10,56 @@ benchmark items nothing is contaminated; empty documents give an empty result; e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rollweave.llm import common, decontam, exact_dedup, packing, simhash, toxicity
 from rollweave.llm.queries import END_ID, table, tokenizer_path
 
 
+#: Tables that the results of stages read; a stage's result has been written when the next stage is called.
+_read_by_results: list = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes what the one before left, unless ``docs`` still reads it."""
+
+    @wraps(function)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.discard_unread(_read_by_results, docs)
+        with common.noted(_read_by_results):
+            return function(spark, docs, sf_dir)
+
+    return staged
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
     return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
+@_stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every SimHash component."""
     return simhash.one_of_each(docs)
 
 
+@_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated with the benchmark."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in training sequences."""
     return packing.pack_documents(docs, tokenizer_path(), END_ID)
