@@ -18,7 +18,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Rows of the Arrow batches in which the JVM sends texts to Python: they are held on both sides at once.
 ARROW_ROWS = 512
 #: What a Python function works on at a time: at most so many rows, and about so many bytes (one row at least).
-CHUNK_ROWS, CHUNK_BYTES = 2_048, 6 << 20
+CHUNK_ROWS, CHUNK_BYTES = 512, 2 << 20
 
 #: Paths of stored tables, by the blocks of ``temporary`` that are open; the first list is the session's.
 _blocks: list[list[tuple[SparkSession, str]]] = [[]]
@@ -68,6 +68,28 @@ def temporary() -> Iterator[None]:
         _delete(mine)
 
 
+@contextlib.contextmanager
+def noted(tables: list[tuple[SparkSession, str]]) -> Iterator[None]:
+    """What the innermost open block gets while this one runs is added to ``tables``."""
+    before = list(_blocks[-1])
+    try:
+        yield
+    finally:
+        tables += [t for t in _blocks[-1] if t not in before]
+
+
+def discard_unread(tables: list[tuple[SparkSession, str]], df: DataFrame) -> None:
+    """Delete the tables, and forget them, but for those whose files ``df`` reads."""
+    files = [f.split(":", 1)[-1].lstrip("/") for f in df.inputFiles()] if tables else []
+    for table in list(tables):
+        if not any(f.startswith(table[1].split(":", 1)[-1].lstrip("/") + "/") for f in files):
+            tables.remove(table)
+            for block in _blocks:
+                if table in block:
+                    block.remove(table)
+                    _delete([table])
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a stored DataFrame now, if it is one; nothing lazy may read it any more."""
     path = vars(df).get("_stored_at")
@@ -87,8 +109,9 @@ def release(spark: SparkSession | None = None) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    with contextlib.suppress(Exception):  # the session may have ended already
-        release()
+    for table in [t for block in _blocks for t in block]:
+        with contextlib.suppress(Exception):  # its session may have ended already
+            _delete([table])
 
 
 def fits(table: DataFrame) -> bool:
