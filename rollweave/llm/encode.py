@@ -68,7 +68,7 @@ class Encoder:
 
     def _empty(self) -> None:
         self.memo: dict[str, int] = {}
-        self.pool, self.ends = array("I"), array("q", [0])
+        self.pool, self.ends = array("I"), array("i", [0])
 
     def whole(self, text: str) -> list[int]:
         """Ids of a text by the library alone."""
@@ -87,12 +87,15 @@ class Encoder:
     def _joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of numbered words, one after the other, and how many ids there are up to each word."""
         if not (len(numbers) and self.pool):
-            return np.zeros(0, "<u4"), np.zeros(len(numbers), np.int64)
-        ends = np.frombuffer(self.ends, np.int64)
+            return np.zeros(0, "<u4"), np.zeros(len(numbers), np.int32)
+        ends = np.frombuffer(self.ends, np.int32)
         stops = ends[1:][numbers]
         each = stops - ends[numbers]
-        upto = np.cumsum(each)
-        return np.frombuffer(self.pool, np.uint32)[np.arange(upto[-1]) + np.repeat(stops - upto, each)], upto
+        upto = np.cumsum(each, dtype=np.int32)
+        stops -= upto
+        at = np.repeat(stops, each)
+        at += np.arange(upto[-1], dtype=np.int32)
+        return np.frombuffer(self.pool, np.uint32)[at], upto
 
     def careful(self, text: str) -> np.ndarray:
         """Ids of a text of any characters."""
@@ -100,7 +103,7 @@ class Encoder:
         out, known = [], []
 
         def flush() -> None:
-            out.append(self._joined(np.array(known, np.int64))[0])
+            out.append(self._joined(np.array(known, np.int32))[0])
             known.clear()
 
         for p in _CUT.split(text) if text else []:
@@ -124,7 +127,7 @@ class Encoder:
         words = lists.flatten().dictionary_encode()
         get, learn = self.memo.get, self._learn
         known = [learn(w, True) if (k := get(w)) is None else k for w in words.dictionary.to_numpy(zero_copy_only=False)]
-        ids, upto = self._joined(np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)])
+        ids, upto = self._joined(np.array(known, np.int32)[words.indices.to_numpy(zero_copy_only=False)])
         bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         return ids, np.diff(np.concatenate(([0], upto))[bounds])
 

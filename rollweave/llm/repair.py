@@ -31,6 +31,8 @@ from .common import chunks, short_batches, small, store
 from .encode import encoder
 
 SHARD_TOKENS = 1 << 19
+#: Rows and bytes of text that are encoded at a time: distinct words are looked up once for all of them.
+ENCODED_ROWS, ENCODED_BYTES = 2_048, 6 << 20
 LEAST_COUNT = 16
 FILE_SCHEMA = (
     "part int, shard int, n_docs long, n_tokens long, doc_ids binary, doc_nulls binary, alphabet binary, rules binary, "
@@ -181,7 +183,7 @@ def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_t
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([_shard_row(part, shard, doc_ids, np.concatenate(held), np.array(tokens, np.int64))], schema=schema)
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, ENCODED_ROWS, ENCODED_BYTES):
             ids, bounds = enc.encode(batch.column(1), end_id)
             names, at = batch.column(0).to_pylist(), 0
             while at < len(names):
