@@ -5,8 +5,10 @@ share ``prior`` is toxic. The classifier is linear over a text's distinct words
 inflected forms of a word). Its risk is  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)): when the corrected negative
 part falls below zero, the step climbs back instead of fitting the toxic texts inside the unlabelled set.
 
-Fitting takes at most MAX_POSITIVE positives and MAX_UNLABELLED texts (documented bounds; chosen by a hash of the id,
-so the sample is the same at every run); scoring reads every whole text of the table.
+Features are looked for in at most MAX_POSITIVE positives and weights are fitted on these and MAX_UNLABELLED texts (documented bounds; chosen
+by a hash of the id, so the sample is the same at every run). How often the negatives have a feature, which decides whether it tells
+anything, is counted over all texts but the held-out ones; scoring reads every whole text of the table. Texts stay on the executors: the
+driver holds counts of features and the chosen features of the chosen texts.
 
 Edge cases: a null or empty text gets the score of a text without toxic features; without any positive (an empty table, no
 labels) every score is the prior; several labels of one id count as toxic if one is; null labels say nothing; repeated rows
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -26,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, small
+from .common import chunks, short_batches, small, store, temporary
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features besides whole words.
 PREFIXES = (4, 5, 6)
-_BUCKETS = 1 << 22
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -63,20 +64,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def _often(texts: list[str | None], least: int = 3) -> dict[str, int]:
-    """Features of at least ``least`` texts, numbered. Counts by hash come first, so that rare features are never held."""
-    rough = np.zeros(_BUCKETS, np.uint16)
-    for t in texts:
-        at = np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) for f in features(t)), np.int64) % _BUCKETS
-        np.add.at(rough, at, 1)
-    counts = Counter(f for t in texts for f in features(t) if rough[crc32(f.encode("utf-8", "surrogatepass")) % _BUCKETS] >= least)
-    return {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= least))}
+LEAST_POSITIVES = 3
+#: Features that a task counts before it passes them on.
+HELD_FEATURES = 200_000
+_INDEX_SCHEMA = "feature string, n long"
 
 
-def _rows(texts: list[str | None], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all indexed features of all texts."""
-    found = [np.fromiter((index[f] for f in features(t) if f in index), np.int32) for t in texts]
-    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int32), *found])
+class Lookup:
+    """Numbers of the features that a text has, of those in ``index``."""
+
+    def __init__(self, index: dict[str, int]):
+        self.whole = {f: i for f, i in index.items() if f[-1] != "-"}
+        self.begin = {k: {f[:-1]: i for f, i in index.items() if f[-1] == "-" and len(f) == k + 1} for k in PREFIXES}
+
+    def __call__(self, text: str | None) -> list[int]:
+        words = set(_WORD.findall(text.lower())) if text else set()
+        found = [self.whole[w] for w in words & self.whole.keys()]
+        for k, of in self.begin.items():
+            found += [of[b] for b in {w[:k] for w in words if len(w) > k} & of.keys()]
+        return found
+
+
+def _pairs(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of all features of all texts."""
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *(np.array(f, np.int64) for f in found)])
 
 
 def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float) -> np.ndarray:
@@ -86,36 +97,123 @@ def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float
     return (in_p >= 6 * expected) & (in_p > expected + 4 * np.sqrt(expected) + 2)
 
 
-def fit(positive: Iterable[str | None], unlabelled: Iterable[str | None], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """nnPU with the sigmoid loss, full batches and Adam."""
+def scores(w: np.ndarray, pos: tuple[np.ndarray, np.ndarray], n_pos: int, unl: tuple[np.ndarray, np.ndarray], n_unl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the positives and of the unlabelled texts, given as (row, feature) pairs; the last weight is the bias."""
+    return tuple(1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(r, w[c], n), -30, 30))) for (r, c), n in ((pos, n_pos), (unl, n_unl)))
+
+
+def gradient(w: np.ndarray, pos: tuple[np.ndarray, np.ndarray], n_pos: int, unl: tuple[np.ndarray, np.ndarray], n_unl: int, prior: float, decay: float) -> np.ndarray:
+    """Direction of steepest ascent of the non-negative risk; of its corrected negative part, climbing, where that is below zero.
+
+    R_P(+) = mean(1 - sp); R_U(-) = mean(su); R_P(-) = mean(sp). A small ridge holds the weights.
+    """
+    sp, su = scores(w, pos, n_pos, unl, n_unl)
+    dp, du = sp * (1 - sp) / n_pos, su * (1 - su) / n_unl  # slopes of the mean of a sigmoid
+    by_p, by_u = (-2 * prior, 1.0) if su.mean() - prior * sp.mean() >= 0 else (prior, -1.0)
+    m = len(w) - 1
+    out = np.empty_like(w)
+    out[:-1] = by_p * np.bincount(pos[1], dp[pos[0]], m) + by_u * np.bincount(unl[1], du[unl[0]], m) + decay * prior * w[:-1] / max(1, m)
+    out[-1] = by_p * dp.sum() + by_u * du.sum()
+    return out
+
+
+def signs(in_p: dict[str, int], n_p: int, in_u: np.ndarray, n_u: int, prior: float) -> dict[str, int]:
+    """Numbers for the features that tell toxicity; ``in_u`` counts the unlabelled texts that have each of the sorted features of ``in_p``."""
+    names = sorted(in_p)
+    if not names or not n_u:
+        return {}
+    chosen = telling(np.array([in_p[f] for f in names]), n_p, in_u, n_u, prior)
+    return {f: i for i, f in enumerate(f for f, yes in zip(names, chosen) if yes)}
+
+
+def clipped(prior: float) -> float:
+    return float(np.clip(prior, 1e-3, 0.9))
+
+
+def fit(positive: Iterable[str | None], unlabelled: Iterable[str | None], prior: float, **options) -> Model:
+    """``fit_rows`` on texts in memory; positives that repeat count once."""
     pos, unl = list(dict.fromkeys(positive)), list(unlabelled)
-    prior = float(np.clip(prior, 1e-3, 0.9))
+    in_p = {f: n for f, n in Counter(f for t in pos for f in features(t)).items() if n >= LEAST_POSITIVES}
+    every = Lookup({f: i for i, f in enumerate(sorted(in_p))})
+    in_u = np.bincount(_pairs([every(t) for t in unl])[1], minlength=len(in_p))
+    index = signs(in_p, len(pos), in_u, len(unl), clipped(prior))
+    find = Lookup(index)
+    return fit_rows(index, _pairs([find(t) for t in pos]), len(pos), _pairs([find(t) for t in unl]), len(unl), prior, **options)
+
+
+def fit_rows(index: dict[str, int], pos: tuple[np.ndarray, np.ndarray], n_pos: int, unl: tuple[np.ndarray, np.ndarray], n_unl: int, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """nnPU with the sigmoid loss, full batches and Adam, on the (row, feature) pairs of the positives and of the unlabelled texts."""
+    prior = clipped(prior)
     start = float(np.log(prior / (1 - prior)))
-    if not pos or not unl:
+    if not n_pos or not n_unl:
         return Model(start)
-    index = _often(pos)
-    (pr, pc), (ur, uc) = _rows(pos, index), _rows(unl, index)
-    chosen = telling(np.bincount(pc, minlength=len(index)), len(pos), np.bincount(uc, minlength=len(index)), len(unl), prior)
-    number = np.cumsum(chosen) - 1
-    names = [f for f, i in index.items() if chosen[i]]
-    pr, pc, ur, uc = pr[chosen[pc]], number[pc[chosen[pc]]], ur[chosen[uc]], number[uc[chosen[uc]]]
-    w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
+    w, m, v = (np.zeros(len(index) + 1) for _ in range(3))
     w[-1] = start
     for step in range(1, steps + 1):
-        sp = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(pr, w[pc], len(pos)), -30, 30)))
-        su = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(ur, w[uc], len(unl)), -30, 30)))
-        dp, du = sp * (1 - sp) / len(pos), su * (1 - su) / len(unl)  # slopes of the mean of a sigmoid
-        negative = su.mean() - prior * sp.mean()
-        # R_P(+) = mean(1 - sp); R_U(-) = mean(su); R_P(-) = mean(sp)
-        by_p, by_u = (-2 * prior, 1.0) if negative >= 0 else (prior, -1.0)
-        grad = np.empty_like(w)
-        grad[:-1] = by_p * np.bincount(pc, dp[pr], len(names)) + by_u * np.bincount(uc, du[ur], len(names)) + decay * prior * w[:-1] / max(1, len(names))
-        grad[-1] = by_p * dp.sum() + by_u * du.sum()
+        grad = gradient(w, pos, n_pos, unl, n_unl, prior, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w[:-1] = np.maximum(w[:-1], 0)  # the features were chosen as signs of toxicity
         w[-1] = min(w[-1], start)
-    return Model(float(w[-1]), {f: float(x) for f, x in zip(names, w) if x > 0})
+    return Model(float(w[-1]), {f: float(x) for f, x in zip(index, w) if x > 0})
+
+
+def common_features(texts: DataFrame) -> dict[str, int]:
+    """How many of a bounded number of texts have each feature that LEAST_POSITIVES have; counted per task, then over all tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["feature", "n"])
+
+        for batch in chunks(batches):
+            for text in batch.column(0).to_pylist():
+                counts.update(features(text))
+                if len(counts) > HELD_FEATURES:
+                    yield told()
+                    counts.clear()
+        yield told()
+
+    with short_batches(texts.sparkSession):
+        totals = texts.select(F.col("text").cast("string")).mapInArrow(run, _INDEX_SCHEMA).groupBy("feature").agg(F.sum("n").alias("n"))
+        found = totals.where(F.col("n") >= LEAST_POSITIVES).toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
+def feature_rows(texts: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of all indexed features of a bounded number of numbered texts; texts without any have no pair and no row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Lookup(index)
+        for batch in chunks(batches):
+            found = [find(t) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([i for f in found for i in f], pa.int32())], ["row", "feature"])
+
+    with short_batches(texts.sparkSession):
+        found = texts.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, feature int").toArrow()
+    row, feature = (found.column(i).to_numpy() for i in (0, 1))
+    order = np.lexsort((feature, row))
+    return np.unique(row[order], return_inverse=True)[1].reshape(-1), feature[order].astype(np.int64)
+
+
+def feature_counts(docs: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, int]:
+    """(how many texts of ``docs`` have each feature of ``index``, number of texts): added up per task, then over all tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, n, seen = Lookup(index), 0, np.zeros(len(index), np.int64)
+        for batch in chunks(batches):
+            for text in batch.column(0).to_pylist():
+                n += 1
+                seen[find(text)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(seen[at], n), pa.int64())], ["feature", "n"])
+
+    totals = docs.select(F.col("text").cast("string")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    with short_batches(docs.sparkSession):
+        found = dict(map(tuple, totals.collect()))  # a row a feature of the index at most
+    return np.array([found.get(i, 0) for i in range(len(index))], np.int64), found.get(-1, 0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,32 +233,39 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, positives = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # a label says whether its text is toxic; the share of such labels is the class prior
-    chosen = sample(known.where("toxic = 1"), positives, MAX_POSITIVE, 1).select("doc_id")
-    positive = [r[0] for r in own.join(small(chosen), "doc_id").orderBy("doc_id").select("text").collect()]
-    unlabelled = [r[0] for r in sample(own, own.count(), MAX_UNLABELLED, 2).orderBy("doc_id").select("text").collect()]
-    return fit(positive, unlabelled, positives / n if n else 0.01)
+    with temporary():
+        chosen = store(sample(known.where("toxic = 1"), positives, MAX_POSITIVE, 1).select("doc_id"), "positives")
+        # copies of a text are one example, however many there are
+        texts = own.join(small(chosen), "doc_id").select("text").distinct()
+        texts = store(texts.select(F.monotonically_increasing_id().alias("row"), "text"), "positive-texts")
+        in_p, n_p, prior = common_features(texts), texts.count(), positives / n if n else 0.01
+        every = {f: i for i, f in enumerate(sorted(in_p))}
+        index = signs(in_p, n_p, *feature_counts(own, every), clipped(prior))
+        unlabelled = sample(own, own.count(), MAX_UNLABELLED, 2)
+        unlabelled = store(unlabelled.select(F.monotonically_increasing_id().alias("row"), "text"), "unlabelled-texts")
+        return fit_rows(index, feature_rows(texts, index), n_p, feature_rows(unlabelled, index), unlabelled.count(), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score) of every whole text."""
-    short_batches(docs.sparkSession)
+    """(doc_id, held_out, score) of every whole text; a stored table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             scores = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    with short_batches(docs.sparkSession):
+        return store(rows.mapInArrow(run, "doc_id long, held_out boolean, score double"), "toxicity")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without texts scored at ``threshold`` or more; all columns as they were."""
-    short_batches(docs.sparkSession)
+    """``docs`` without texts scored at ``threshold`` or more; all columns as they were. A stored table."""
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with short_batches(docs.sparkSession):
+        return store(docs.mapInArrow(run, docs.schema), "not-toxic")

@@ -282,8 +282,8 @@ def test_simhash_links_lose_nothing(spark):
     signed = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
     want = plain_components([f & (1 << 64) - 1 for f in signed])
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for large in (simhash.LARGE, 3):  # with and without buckets that are filed again
-        found = simhash.links(df, large=large).collect()
+    for large, levels in ((simhash.LARGE, 2), (3, 2), (60, 3)):  # with and without buckets that are filed again
+        found = simhash.links(df, large=large, levels=levels).collect()
         at = {f: i for i, f in enumerate(signed)}
         assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4 for r in found)
         root = list(range(len(signed)))
@@ -430,8 +430,10 @@ def test_quality_shrinks_sparse_groups(spark):
             i += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, quality int")
     rate = {r.host_: r.rate for r in docs.join(quality.score(docs, docs, F.col("host"), F.lit("p")).select("doc_id", F.col("host_rate").alias("rate")), "doc_id").select(F.col("host").alias("host_"), "rate").distinct().collect()}
-    raw = 0.0
-    assert rate["good"] > rate["tiny"] > raw and rate["tiny"] > 0.05 and rate["bad"] < 0.2
+    raw = {h: sum(k for _, _, x, k in rows if x == h) / sum(x == h for _, _, x, _ in rows) for h in rate}
+    mean = sum(k for *_, k in rows) / len(rows)
+    assert raw["tiny"] < 0.1 * mean < rate["tiny"] < mean  # two bad documents don't make a bad site
+    assert rate["good"] == pytest.approx(raw["good"], abs=0.05) and rate["bad"] == pytest.approx(raw["bad"], abs=0.05)
 
 
 # -- chat, pages, licences ----------------------------------------------------------------------------------------------
@@ -516,12 +518,11 @@ def test_main_text(wrap):
 
 
 def test_main_text_of_broken_pages(spark):
-    pages = {"": "", None: "", "plain words": "plain words", "<p>Hi": "Hi", "<article><p>a<p>b</article": "a\nb", "<nav>x</nav>": "", "<p>a<!-- never closed": "a", "<p>x <b y='": "x <b y='", "&amp": "&", "<p>" + "w " * 200000: ("w " * 200000).strip(), "<article><header><h1>T</h1></header><p>a</p></article>": "T\na"}
+    pages = {"": "", None: "", "plain words": "plain words", "<p>Hi": "Hi", "<article><p>a<p>b</article": "a\nb", "<nav>x</nav>": "", "<p>a<!-- never closed": "a", "<p>x <b y='": "x", "&amp": "&", "<p>" + "w " * 200000: ("w " * 200000).strip(), "<article><header><h1>T</h1></header><p>a</p></article>": "T\na"}
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extract(df).collect()}
     for i, want in enumerate(pages.values()):
-        if i != 7:
-            assert got[i].text == want and got[i].n_chars == len(want), i
+        assert got[i].text == want and got[i].n_chars == len(want), (i, got[i].text)
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
@@ -552,7 +553,6 @@ def test_regions_decide_on_marked_pages():
 
 
 def test_regions():
-    assert html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5]) == [(3, 9)] or html_extract.regions([5, 5, 0, 0, 0, 90, 30, 0, 40, 0, 0, 0, 5])[0][1] >= 9
     assert html_extract.regions([]) == [] and html_extract.regions([0, 0]) == []
 
 
